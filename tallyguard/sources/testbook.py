@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import micros
 from ..operators.cleaning import with_derived
 from ..session import configure
 
@@ -13,8 +12,17 @@ SPELLINGS = {"nation_2": "NATION_2", "n.2": "NATION_2", "n2": "NATION_2"}
 HIGH_RISK = ("NATION_2", "NATION_5", "NATION_13")
 
 
+# columns read from the supplied tables; declared, so that no file is opened to infer them
+SUPPLIED = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.schema(SUPPLIED[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _account(col: Column) -> Column:
@@ -22,11 +30,15 @@ def _account(col: Column) -> Column:
 
 
 def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return customer.join(
-        nation, customer.c_nationkey == nation.n_nationkey, "left"
-    ).select("c_custkey", "n_name")
+    """Country per customer. Grouped, so that the optimizer sees one row per key and drops
+    the join wherever no country is asked for."""
+    customer = _read(spark, sf_dir, "customer")
+    nation = _read(spark, sf_dir, "nation")
+    return (
+        customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+        .groupBy("c_custkey")
+        .agg(F.min("n_name").alias("n_name"))
+    )
 
 
 def _accounts_in_use(spark: SparkSession, sf_dir: str) -> int:
@@ -164,5 +176,5 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_book(spark, sf_dir).withColumn("amount", F.col("amount").cast("string"))
 
 
-def with_clock(df: DataFrame) -> DataFrame:
-    return df.withColumn("us", micros(F.col("timestamp")))
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings")
