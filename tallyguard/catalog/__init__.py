@@ -3,6 +3,9 @@
 from .registry import ORACLE, QUERIES
 from . import (  # noqa: F401  (registration)
     rule_queries,
+    clean_queries,
+    feature_queries,
+    evaluation_queries,
 )
 
 __all__ = ["ORACLE", "QUERIES"]

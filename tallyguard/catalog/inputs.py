@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import features, rules
 from ..operators.cleaning import traced
+from ..operators.evaluation import with_labels
+from ..plans import stage
 from ..sources import testbook
 
 # parameters that give non-trivial results on the supplied tables (FIXTURES.md)
@@ -28,3 +31,18 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traced(
         testbook.raw_book(spark, sf_dir), testbook.customers(spark, sf_dir), testbook.SPELLINGS
     )
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule flags and labels."""
+    return with_labels(flagged(spark, sf_dir), testbook.labels(spark, sf_dir))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule flags, labels and the amount z-score as the score column, written once."""
+    payments = features.trailing_amounts(book(spark, sf_dir))
+    rows = with_labels(rules.apply_all(payments, PARAMS), testbook.labels(spark, sf_dir))
+    return stage(
+        rows.withColumn("score", F.round("amount_z_vs_account", 6)).drop("amount_z_vs_account"),
+        "scored",
+    )
