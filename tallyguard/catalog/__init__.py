@@ -6,6 +6,8 @@ from . import (  # noqa: F401  (registration)
     clean_queries,
     feature_queries,
     evaluation_queries,
+    profile_queries,
+    network_queries,
 )
 
 __all__ = ["ORACLE", "QUERIES"]
