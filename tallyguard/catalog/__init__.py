@@ -8,6 +8,8 @@ from . import (  # noqa: F401  (registration)
     evaluation_queries,
     profile_queries,
     network_queries,
+    evidence_queries,
+    whatif_queries,
 )
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -38,6 +38,7 @@ def priority(pct: Column) -> Column:
 
 
 def hashed_uniform(key: Column, seed: int, low: float, high: float) -> Column:
-    """Uniform draw that depends on the key alone, not on partitions."""
-    unit = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """Uniform draw that depends on the key alone, not on partitions or run."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
     return F.lit(float(low)) + unit * (high - low)
