@@ -10,6 +10,7 @@ from . import (  # noqa: F401  (registration)
     network_queries,
     evidence_queries,
     whatif_queries,
+    model_queries,
 )
 
 __all__ = ["ORACLE", "QUERIES"]
