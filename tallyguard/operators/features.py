@@ -46,6 +46,7 @@ def history(
     count: str | None = None,
     distinct: str | None = None,
     amounts: bool = False,
+    met_in: DataFrame | None = None,
 ) -> DataFrame:
     """Add trailing columns of one side's account, all from one timeline and one shuffle.
 
@@ -55,6 +56,8 @@ def history(
       its first payment, so the count is a running sum and no set is kept per account;
     - ``amounts``: number, sum, sum of squares and maximum of past amounts in pennies,
       exact integers so that their order of summation is immaterial.
+
+    ``met_in`` names a cheaper source of the same payments to find first meetings in.
     """
     velocities = velocities or {}
     key, other = f"{side}_account", ("receiver" if side == "sender" else "sender") + "_account"
@@ -101,7 +104,7 @@ def history(
         }
     if distinct:
         firsts = (
-            df.groupBy(F.col(key).alias("account"), F.col(other).alias("_other"))
+            (df if met_in is None else met_in).groupBy(F.col(key).alias("account"), F.col(other).alias("_other"))
             .agg(F.min(F.struct("us", "transaction_id")).alias("first"))
             .select(
                 "account",
@@ -255,6 +258,7 @@ def build_features(
         *keep,
     }
     df = df.select(*[c for c in df.columns if c in needed])
+    payments = df.select("transaction_id", "us", "sender_account", "receiver_account")
     past = history(
         with_tenure(df, customers, hot),
         "sender",
@@ -263,6 +267,7 @@ def build_features(
         "sender_txn_count",
         "sender_distinct_counterparties",
         amounts=True,
+        met_in=payments,
     )
     past = past.withColumns(
         {"amount_z_vs_account": amount_z(), "amount_vs_account_max": amount_vs_max()}
@@ -273,6 +278,7 @@ def build_features(
         hot,
         {"receiver_velocity_24h": 24},
         distinct="receiver_distinct_counterparties",
+        met_in=payments,
     )
     derived = {
         "log_amount": F.log1p("amount"),
