@@ -3,7 +3,7 @@
 from .ladder import attach_by_value, ladder, numbered
 from .running import paired, running
 from .skew import HotKeys, find_hot
-from .stage import stage
+from .stage import stage, together
 
 __all__ = [
     "HotKeys",
@@ -14,4 +14,5 @@ __all__ = [
     "paired",
     "running",
     "stage",
+    "together",
 ]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +35,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*actions: Callable[[], Any]) -> list[Any]:
+    """Submit independent Spark actions at once, so that short ones fill the gaps of long ones."""
+    with ThreadPoolExecutor(max_workers=max(1, len(actions))) as pool:
+        return [f.result() for f in [pool.submit(action) for action in actions]]

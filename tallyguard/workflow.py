@@ -5,7 +5,7 @@ Tables that several later steps read are written once; every output stays a Spar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .operators import (
     cases,
@@ -19,7 +19,7 @@ from .operators import (
     rules,
 )
 from .operators.evaluation import Ranking
-from .plans import find_hot, stage
+from .plans import HotKeys, find_hot, stage, together
 from .sources.files import write_json, write_table
 
 
@@ -42,6 +42,16 @@ def profile(raw_text: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def write_profile(raw_text: DataFrame, customers: DataFrame, out: str) -> None:
+    tables = profile(raw_text, customers)
+    together(
+        *[
+            lambda name=name, table=table: write_json(table, f"{out}/profile/{name}")
+            for name, table in tables.items()
+        ]
+    )
+
+
 def clean(
     raw: DataFrame,
     customers: DataFrame,
@@ -51,19 +61,33 @@ def clean(
     """Write the clean book and the quarantine; return both and the log."""
     spark = raw.sparkSession
     trace = stage(cleaning.traced(raw, customers, spellings), "traced")
-    write_table(cleaning.clean_book(trace), f"{out}/transactions_clean")
-    write_table(cleaning.quarantine(trace), f"{out}/quarantined_rows")
-    log = cleaning.cleaning_log(trace)
-    write_json(log, f"{out}/cleaning_log")
+    kept, rejected, log = (
+        cleaning.clean_book(trace),
+        cleaning.quarantine(trace),
+        cleaning.cleaning_log(trace),
+    )
+    together(
+        lambda: write_table(kept, f"{out}/transactions_clean"),
+        lambda: write_table(rejected, f"{out}/quarantined_rows"),
+        lambda: write_json(log, f"{out}/cleaning_log"),
+    )
     return (
-        spark.read.parquet(f"{out}/transactions_clean"),
-        spark.read.parquet(f"{out}/quarantined_rows"),
+        spark.read.schema(kept.schema).parquet(f"{out}/transactions_clean"),
+        spark.read.schema(rejected.schema).parquet(f"{out}/quarantined_rows"),
         log,
     )
 
 
+def score(book: DataFrame, customers: DataFrame, hot: HotKeys, **forest_options):
+    """Anomaly scores of a forest fitted on the book, and its node table."""
+    levels = features.observed_levels(book)
+    names = features.feature_names(levels)
+    matrix = stage(features.build_features(book, customers, levels, hot), "features")
+    forest, model = isolation.fit_forest(matrix, names, **forest_options)
+    return stage(forest.apply(matrix).select("transaction_id", "score"), "scores"), model
+
+
 def detect(
-    spark: SparkSession,
     book: DataFrame,
     quarantine: DataFrame,
     customers: DataFrame,
@@ -75,22 +99,28 @@ def detect(
     """Rules, model, combination, metrics, case list, payload and account graph."""
     book = rules.with_clock(book)
     hot = find_hot(book)
-    levels = features.observed_levels(book)
-    names = features.feature_names(levels)
-    matrix = stage(features.build_features(book, customers, levels, hot), "features")
-    forest, model = isolation.fit_forest(matrix, names, **forest_options)
-    scores = forest.apply(matrix).select("transaction_id", "score")
-    flagged = evaluation.with_labels(rules.apply_all(book, params, hot), label_file)
+    (scores, model), flagged, hops, accounts = together(
+        lambda: score(book, customers, hot, **forest_options),
+        lambda: stage(
+            evaluation.with_labels(rules.apply_all(book, params, hot), label_file), "flagged"
+        ),
+        lambda: stage(network.chains(book), "hops"),
+        lambda: stage(network.funnel_accounts(book), "funnels"),
+    )
     scored = stage(flagged.join(scores, "transaction_id"), "scored")
     ranking = Ranking(scored)
     decided = evaluation.combined(scored, ranking)
-    strategies = stage(evaluation.strategy_metrics(decided, ranking), "strategies")
-    by_rule = stage(evaluation.rule_metrics(scored), "rule-metrics")
-    contribution = evaluation.rule_contribution(scored)
-    queue = stage(cases.queue(cases.open_cases(decided, ranking)), "queue")
-    band = (params or {}).get("structuring", {})
-    hops = stage(network.chains(book), "hops")
-    accounts = stage(network.funnel_accounts(book), "funnels")
+    queue, strategies, by_rule = together(
+        lambda: stage(cases.queue(cases.open_cases(decided, ranking)), "queue"),
+        lambda: stage(evaluation.strategy_metrics(decided, ranking), "strategies"),
+        lambda: stage(evaluation.rule_metrics(flagged), "rule-metrics"),
+    )
+    contribution = evaluation.rule_contribution(flagged)
+    band = {
+        k: v
+        for k, v in (params or {}).get("structuring", {}).items()
+        if k in ("threshold", "band_low")
+    }
     tables = {
         "dataset": evaluation.dataset_accounting(label_file, book, quarantine),
         "rules": by_rule,
@@ -102,25 +132,26 @@ def detect(
         "case_counts": cases.case_counts(queue),
         "gain": ranking.gain(),
         "case_list": queue.select(*cases.CASE_COLUMNS),
-        "payload": evidence.case_payload(
-            queue, scored, hot=hot, **{k: v for k, v in band.items() if k in ("threshold", "band_low")}
-        ),
+        "payload": evidence.case_payload(queue, book, hot=hot, **band),
         "funnels": accounts.filter("is_funnel"),
         "chains": hops,
-        "funnel_recall": network.funnel_recall(scored, accounts),
-        "chain_cases": network.chain_cases(scored, hops),
+        "funnel_recall": network.funnel_recall(flagged, accounts),
+        "chain_cases": network.chain_cases(flagged, hops),
+        "forest": model,
     }
-    nested = {"payload"}
-    large = {"case_list", "funnels", "chains", "gain"}
-    for name, table in tables.items():
-        path = f"{out}/{name}"
-        write_table(table, path) if name in large - nested else write_json(table, path)
-    write_table(model, f"{out}/forest")
+    as_table = {"case_list", "funnels", "chains", "gain", "forest"}
+    together(
+        *[
+            lambda name=name, table=table: (write_table if name in as_table else write_json)(
+                table, f"{out}/{name}"
+            )
+            for name, table in tables.items()
+        ]
+    )
     return {**tables, "scored": scored, "queue": queue}
 
 
 def run(
-    spark: SparkSession,
     raw_text: DataFrame,
     raw: DataFrame,
     customers: DataFrame,
@@ -131,13 +162,9 @@ def run(
     **forest_options,
 ) -> dict[str, DataFrame]:
     """Everything, from the raw feed to the analyst queue, under the folder ``out``."""
-    for name, table in profile(raw_text, customers).items():
-        write_json(table, f"{out}/profile/{name}")
-    book, quarantine, log = clean(raw, customers, out, spellings)
-    tables = detect(
-        spark, book, quarantine, customers, label_file, out, params, **forest_options
+    _, (book, quarantine, log) = together(
+        lambda: write_profile(raw_text, customers, out),
+        lambda: clean(raw, customers, out, spellings),
     )
+    tables = detect(book, quarantine, customers, label_file, out, params, **forest_options)
     return {**tables, "cleaning_log": log, "quarantine": quarantine, "book": book}
-
-
-__all__ = ["clean", "detect", "profile", "run"]
