@@ -40,24 +40,25 @@ def running(
         first = F.desc(cols[0]) if backwards else F.asc(cols[0])
         return [first, *[F.asc(c) for c in cols[1:]]]
 
-    def outputs(window) -> list[Column]:
-        return [_FOLD[kind](src).over(window).alias(out) for out, (kind, src) in totals.items()]
-
     if not hot:
         window = (
             Window.partitionBy(*keys)
             .orderBy(*clock(order))
             .rowsBetween(Window.unboundedPreceding, frame_end)
         )
-        return df.select("*", *outputs(window))
+        return df.select(
+            "*", *[_FOLD[kind](src).over(window).alias(out) for out, (kind, src) in totals.items()]
+        )
 
-    names = df.columns
-    sources = {src: kind for kind, src in totals.values()}
-    chunked = hot.split(df)
+    # an own input column per total, since its carry row brings that total's own value
+    inputs = {out: f"_in_{out}" for out in totals}
+    chunked = hot.split(df).withColumns(
+        {inputs[out]: F.col(src) for out, (_, src) in totals.items()}
+    )
     per_chunk = (
         chunked.filter(F.col(CHUNK) >= 0)
         .groupBy(*keys, CHUNK)
-        .agg(*[_FOLD[kind](src).alias(src) for src, kind in sources.items()])
+        .agg(*[_FOLD[kind](inputs[out]).alias(inputs[out]) for out, (kind, _) in totals.items()])
     )
     before = (
         Window.partitionBy(*keys)
@@ -65,8 +66,14 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = per_chunk.select(
-        *keys, CHUNK, *[_FOLD[kind](src).over(before).alias(src) for src, kind in sources.items()]
-    ).withColumn(_CARRY, F.lit(0))
+        *keys,
+        CHUNK,
+        F.lit(0).alias(_CARRY),
+        *[
+            _FOLD[kind](inputs[out]).over(before).alias(inputs[out])
+            for out, (kind, _) in totals.items()
+        ],
+    )
     window = (
         Window.partitionBy(*keys, CHUNK)
         .orderBy(F.asc(_CARRY), *clock(order))
@@ -75,9 +82,13 @@ def running(
     return (
         chunked.withColumn(_CARRY, F.lit(1))
         .unionByName(carry, allowMissingColumns=True)
-        .select("*", *outputs(window))
+        .select(
+            *df.columns,
+            _CARRY,
+            *[_FOLD[kind](inputs[out]).over(window).alias(out) for out, (kind, _) in totals.items()],
+        )
         .filter(F.col(_CARRY) == 1)
-        .select(*names, *totals)
+        .drop(_CARRY)
     )
 
 
