@@ -46,16 +46,22 @@ def standardised(raw: DataFrame, spellings: dict[str, str] | None = None) -> Dat
 
 
 def imputed(df: DataFrame, customers: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Missing sender countries from the customer file (receivers are left alone)."""
-    hot = hot if hot is not None else HotKeys()
+    """Missing sender countries from the customer file (receivers are left alone).
+
+    Only the rows with a gap meet the customer file; the rest of the feed is not shuffled.
+    """
+    gap = F.col("sender_country").isNull()
+    gaps = df.filter(gap)
+    hot = find_hot(gaps, ("sender_account",), us=None) if hot is None else hot
     homes = customers.groupBy(F.col("account_id").alias("_account")).agg(
         F.min("home_country").alias("_home")
     )
-    return (
-        hot.lookup(df, "sender_account", homes, "_account")
-        .withColumn("sender_country", F.coalesce("sender_country", "_home"))
+    filled = (
+        hot.lookup(gaps, "sender_account", homes, "_account")
+        .withColumn("sender_country", F.col("_home"))
         .drop("_home")
     )
+    return df.filter(~gap).unionByName(filled)
 
 
 def without_exact_replays(df: DataFrame, counters: dict[str, Column] | None = None) -> DataFrame:
@@ -104,8 +110,6 @@ def traced(
     names, and before stray transaction types are folded.
     """
     stray_types = {"wire_transfer": "transfer"} if stray_types is None else stray_types
-    hot = find_hot(raw.withColumn("us", F.unix_micros(parse_timestamp(F.col("timestamp")))),
-                   ("sender_account",)) if hot is None else hot
     std = standardised(raw, spellings)
     std = std.withColumns(
         {

@@ -15,7 +15,9 @@ from ..plans import HotKeys, find_hot, paired, running
 from .rules import with_clock
 
 EXACT = "decimal(38,0)"
-EVENT, FIRST_SEEN, PROBE = 0, 1, 2  # kinds of timeline rows; probes are PROBE, PROBE + 1, ...
+# kinds of timeline rows; probes are PROBE, PROBE + 1, ...
+OPENING, EVENT, FIRST_SEEN, PROBE = -1, 0, 1, 2
+BEGINNING = -(2**60)  # before any payment, in microseconds
 
 NUMERIC = (
     "log_amount",
@@ -47,6 +49,7 @@ def history(
     distinct: str | None = None,
     amounts: bool = False,
     met_in: DataFrame | None = None,
+    opened: DataFrame | None = None,
 ) -> DataFrame:
     """Add trailing columns of one side's account, all from one timeline and one shuffle.
 
@@ -58,6 +61,8 @@ def history(
       exact integers so that their order of summation is immaterial.
 
     ``met_in`` names a cheaper source of the same payments to find first meetings in.
+    ``opened`` (account, opened) adds each account's opening day as ``opened``: it is the
+    first event of the timeline, which saves joining the book to the customers.
     """
     velocities = velocities or {}
     key, other = f"{side}_account", ("receiver" if side == "sender" else "sender") + "_account"
@@ -118,6 +123,18 @@ def history(
         )
         timeline = timeline.unionByName(firsts, allowMissingColumns=True)
         totals["met"] = ("sum", "new")
+    if opened is not None:
+        openings = opened.select(
+            "account",
+            F.lit(BEGINNING).cast("bigint").alias("us"),
+            F.lit(BEGINNING).cast("bigint").alias("us0"),
+            F.lit("").alias("transaction_id"),
+            F.lit(OPENING).alias("kind"),
+            F.lit(0).alias("phase"),
+            F.unix_date("opened").alias("opened_day"),
+        )
+        timeline = timeline.unionByName(openings, allowMissingColumns=True)
+        totals["first_opened"] = ("min", "opened_day")
     read = running(
         timeline, ["account"], ["us", "phase", "transaction_id", "kind"], totals, hot, include_self=False
     )
@@ -137,6 +154,8 @@ def history(
         added[count] = seen
     if distinct:
         added[distinct] = F.coalesce("met", zero)
+    if opened is not None:
+        added["opened"] = F.date_from_unix_date("first_opened")
     if amounts:
         added |= {
             "past_count": seen,
@@ -182,40 +201,45 @@ def trailing_amounts(book: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     )
 
 
-def tenure(df: DataFrame, customers: DataFrame, hot: HotKeys) -> DataFrame:
-    """Add ``tenure_days``: whole days since the sender's account was opened, or NULL."""
-    opened = customers.groupBy(F.col("account_id").alias("_account")).agg(
-        F.min("account_open_date").alias("_opened")
+def opening_days(customers: DataFrame) -> DataFrame:
+    return customers.select(
+        F.col("account_id").alias("account"), F.col("account_open_date").alias("opened")
+    ).filter("account IS NOT NULL AND opened IS NOT NULL")
+
+
+def median_tenure(book: DataFrame, customers: DataFrame) -> DataFrame:
+    """One row: the exact median account age over all payments of known accounts.
+
+    Payments are counted per account and day before they meet the customers, and per age
+    before the median, so neither step grows with a busy account.
+    """
+    per_day = (
+        book.groupBy(F.col("sender_account").alias("account"), F.to_date("timestamp").alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    first = opening_days(customers).groupBy("account").agg(F.min("opened").alias("opened"))
     return (
-        hot.lookup(df, "sender_account", opened, "_account")
-        .withColumn("tenure_days", F.datediff(F.to_date("timestamp"), F.col("_opened")))
-        .drop("_opened")
+        per_day.join(first, "account")
+        .groupBy(F.datediff("day", "opened").alias("days"))
+        .agg(F.sum("n").alias("n"))
+        .agg(F.expr("percentile(days, 0.5, n)").alias("median"))
     )
 
 
-def median_of_days(days: DataFrame) -> DataFrame:
-    """Exact median of a whole-day column; days are counted first, so few values remain."""
-    return days.groupBy("tenure_days").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.expr("percentile(tenure_days, 0.5, n)").alias("median")
-    )
+def tenure(median: DataFrame) -> Column:
+    """Whole days since the account was opened; unknown accounts get the median."""
+    days = F.datediff(F.to_date("timestamp"), F.col("opened")).cast("double")
+    return F.coalesce(days, median.scalar())
 
 
-def with_tenure(df: DataFrame, customers: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Account age in days; unknown accounts get the median of the known ages."""
-    df = with_clock(df)
+def with_tenure(book: DataFrame, customers: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """The book with ``sender_account_age_days``."""
+    df = with_clock(book)
     hot = find_hot(df) if hot is None else hot
-    known = tenure(df.select("sender_account", "timestamp"), customers, hot).filter(
-        "tenure_days IS NOT NULL"
-    )
-    return (
-        tenure(df, customers, hot)
-        .withColumn(
-            "sender_account_age_days",
-            F.coalesce(F.col("tenure_days").cast("double"), median_of_days(known).scalar()),
-        )
-        .drop("tenure_days")
-    )
+    dated = history(df, "sender", hot, opened=opening_days(customers))
+    return dated.withColumn(
+        "sender_account_age_days", tenure(median_tenure(df, customers))
+    ).drop("opened")
 
 
 def observed_levels(book: DataFrame) -> dict[str, list[str]]:
@@ -260,7 +284,7 @@ def build_features(
     df = df.select(*[c for c in df.columns if c in needed])
     payments = df.select("transaction_id", "us", "sender_account", "receiver_account")
     past = history(
-        with_tenure(df, customers, hot),
+        df,
         "sender",
         hot,
         {"sender_velocity_24h": 24, "sender_velocity_7d": 24 * 7},
@@ -268,10 +292,15 @@ def build_features(
         "sender_distinct_counterparties",
         amounts=True,
         met_in=payments,
+        opened=opening_days(customers),
     )
     past = past.withColumns(
-        {"amount_z_vs_account": amount_z(), "amount_vs_account_max": amount_vs_max()}
-    ).drop("past_count", "past_cents", "past_squares", "past_max")
+        {
+            "amount_z_vs_account": amount_z(),
+            "amount_vs_account_max": amount_vs_max(),
+            "sender_account_age_days": tenure(median_tenure(df, customers)),
+        }
+    ).drop("past_count", "past_cents", "past_squares", "past_max", "opened")
     past = history(
         past,
         "receiver",

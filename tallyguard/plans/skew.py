@@ -113,16 +113,18 @@ def _chunk_of(us: Column) -> Column:
 def find_hot(
     df: DataFrame,
     accounts: tuple[str, ...] = ("sender_account", "receiver_account"),
-    us: str = "us",
+    us: str | None = "us",
     share: float = HOT_SHARE,
     min_rows: int = MIN_HOT_ROWS,
 ) -> HotKeys:
     """Hot accounts of a book, counted over both legs.
 
     One narrow pass with map-side counts; a second one, over the hot rows only, when
-    there are any. The boundaries steer balance, never results.
+    there are any. The boundaries steer balance, never results; without ``us`` only the
+    accounts are found, for lookups.
     """
-    legs = df.select(F.explode(F.array(*accounts)).alias("account"), us).filter(
+    clock = F.col(us) if us else F.lit(0).cast("bigint")
+    legs = df.select(F.explode(F.array(*accounts)).alias("account"), clock.alias("us")).filter(
         "account IS NOT NULL"
     )
     counts = legs.groupBy("account").agg(F.count(F.lit(1)).alias("n"))
@@ -137,9 +139,9 @@ def find_hot(
         .groupBy("account")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(us, probs, 1_000).alias("cuts"),
-            F.min(us).alias("lo"),
-            F.max(us).alias("hi"),
+            F.percentile_approx("us", probs, 1_000).alias("cuts"),
+            F.min("us").alias("lo"),
+            F.max("us").alias("hi"),
         )
         .collect()
     )

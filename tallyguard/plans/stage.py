@@ -13,26 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+_local_roots: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a private one only in local mode where it is unset."""
-    root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    root = spark.conf.get(_SETTING, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder every executor can read")
-    root = tempfile.mkdtemp(prefix="tallyguard-")
-    spark.conf.set(_SETTING, root)
-    return root
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="tallyguard-")
+    return _local_roots[context.applicationId]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and continue from the files.
 
     The files outlive lost executors, are columnar (later reads prune columns and push
-    filters) and freeze whatever was decided while writing, such as range boundaries.
+    filters) and freeze whatever was decided while writing, such as range boundaries. They
+    lie in one folder per application, to be removed when the application is over.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    path = f"{stage_root(spark)}/tallyguard-{application}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

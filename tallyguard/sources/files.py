@@ -67,7 +67,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     """Write a table; CSV keeps a header and a sortable timestamp format."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+        writer = (
+            writer.option("header", True)
+            .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
     writer.format(fmt).save(path)
 
 

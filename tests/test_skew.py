@@ -276,3 +276,25 @@ def test_fixture_is_skewed():
     rows = skewed_rows()
     legs = [r[2] for r in rows] + [r[3] for r in rows]
     assert legs.count("HOT") / len(legs) > 0.3
+
+
+def test_account_age(spark, skewed, rows, plan):
+    import datetime as dt
+
+    from tallyguard.sources import schemas
+
+    first = dt.date(2024, 1, 1)
+    people = [(a, "X", first + dt.timedelta(days=i)) for i, a in enumerate(["HOT", "A1", "A2", "A3"])]
+    people.append(("HOT", "X", first + dt.timedelta(days=50)))  # a repeated line: the earliest counts
+    known = {a: d for a, _, d in reversed(people)}
+    ages = {
+        r["transaction_id"]: (r["timestamp"].date() - known[r["sender_account"]]).days
+        for r in rows
+        if r["sender_account"] in known
+    }
+    ordered = sorted(ages.values())
+    middle = len(ordered) // 2
+    median = ordered[middle] if len(ordered) % 2 else (ordered[middle - 1] + ordered[middle]) / 2
+    got = features.with_tenure(skewed, spark.createDataFrame(people, schemas.CUSTOMERS), plan)
+    for r in got.collect():
+        assert r["sender_account_age_days"] == ages.get(r["transaction_id"], median)
