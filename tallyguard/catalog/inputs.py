@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, rules
 from ..operators.cleaning import traced
 from ..operators.evaluation import with_labels
-from ..plans import stage
+from ..plans import find_hot, stage
 from ..sources import testbook
 
 # parameters that give non-trivial results on the supplied tables (FIXTURES.md)
@@ -40,8 +40,10 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule flags, labels and the amount z-score as the score column, written once."""
-    payments = features.trailing_amounts(book(spark, sf_dir))
-    rows = with_labels(rules.apply_all(payments, PARAMS), testbook.labels(spark, sf_dir))
+    payments = book(spark, sf_dir)
+    hot = find_hot(payments)
+    flagged_rows = rules.apply_all(features.trailing_amounts(payments, hot), PARAMS, hot)
+    rows = with_labels(flagged_rows, testbook.labels(spark, sf_dir))
     return stage(
         rows.withColumn("score", F.round("amount_z_vs_account", 6)).drop("amount_z_vs_account"),
         "scored",

@@ -33,6 +33,7 @@ def local_session(cpus: int | None = None, name: str = "tallyguard") -> SparkSes
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .getOrCreate()
     )
