@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import cases, evaluation, evidence, rules
 from ..operators.evaluation import Ranking
+from .evaluation_queries import CASES_SQL
 from .inputs import PARAMS, book, labelled, scored
 from .registry import query
-from .tables_sql import BOOK, FLAGGED, rapid_sql, structuring_sql, with_tables
+from .tables_sql import BOOK, FLAGGED, SCORED, rapid_sql, structuring_sql, with_tables
 
 _NEAR = "amount >= 10000 * 0.60 AND amount < 10000"
 _WEEK, _DAY = 604800000000, 86400000000
@@ -36,14 +37,17 @@ burst AS (
   FROM into_side i JOIN out_side o USING (transaction_id))"""
 
 
+BURST_TEXT_SQL = """payments || ' payments ' || shape || ' ' || account || ' within 7 days ('
+  || CASE WHEN shape = 'into' AND senders > 1 THEN senders || ' different senders' ELSE 'one sender' END
+  || '), each between £' || format('{:,.0f}', low) || ' and £' || format('{:,.0f}', high)
+  || ' all sitting just under the £10,000 reporting threshold.'"""
+
+
 @query(
     "structuring_evidence",
     with_tables(
         f"{BOOK}, {structuring_sql()}, {BURST}",
-        """SELECT *, payments || ' payments ' || shape || ' ' || account || ' within 7 days ('
-  || CASE WHEN shape = 'into' AND senders > 1 THEN senders || ' different senders' ELSE 'one sender' END
-  || '), each between £' || format('{:,.0f}', low) || ' and £' || format('{:,.0f}', high)
-  || ' all sitting just under the £10,000 reporting threshold.' AS evidence FROM burst""",
+        f"SELECT *, {BURST_TEXT_SQL} AS evidence FROM burst",
     ),
 )
 def structuring_evidence(spark, sf_dir):
@@ -73,15 +77,8 @@ legs AS (
   FROM alerts LEFT JOIN came USING (transaction_id) LEFT JOIN went USING (transaction_id))"""
 
 
-@query(
-    "rapid_evidence",
-    with_tables(
-        f"{BOOK}, {rapid_sql()}, {LEGS}",
-        """SELECT transaction_id, sender_account, receiver_account, amount, leg, payer, credit_amount,
-  round(credit_gap_hours, 6) AS credit_gap_hours, debits, debit_total,
-  round(debit_gap_hours, 6) AS debit_gap_hours,
-  CASE leg WHEN 'credit' THEN '£' || format('{:,.0f}', credit_amount) || ' arrived from ' || payer
-    || ', and £' || format('{:,.0f}', amount) || ' ('
+LEGS_TEXT_SQL = """CASE leg WHEN 'credit' THEN '£' || format('{:,.0f}', credit_amount) || ' arrived from '
+    || payer || ', and £' || format('{:,.0f}', amount) || ' ('
     || CAST(CAST(round_even(amount / credit_amount * 100, 0) AS BIGINT) AS VARCHAR) || '% of it) left for '
     || receiver_account || ' ' || CAST(CAST(round_even(credit_gap_hours, 0) AS BIGINT) AS VARCHAR)
     || ' hours later. The account held the funds, it did not use them.'
@@ -89,8 +86,16 @@ legs AS (
     || format('{:,.0f}', debit_total) || ' left again across ' || debits || ' payment(s) within '
     || CAST(CAST(round_even(debit_gap_hours, 0) AS BIGINT) AS VARCHAR) || ' hours, which is '
     || CAST(CAST(round_even(debit_total / amount * 100, 0) AS BIGINT) AS VARCHAR) || '% of what arrived.'
-  ELSE 'Funds moved in and out of the account inside the 24-hour window.' END AS evidence
-FROM legs""",
+  ELSE 'Funds moved in and out of the account inside the 24-hour window.' END"""
+
+
+@query(
+    "rapid_evidence",
+    with_tables(
+        f"{BOOK}, {rapid_sql()}, {LEGS}",
+        f"""SELECT transaction_id, sender_account, receiver_account, amount, leg, payer, credit_amount,
+  round(credit_gap_hours, 6) AS credit_gap_hours, debits, debit_total,
+  round(debit_gap_hours, 6) AS debit_gap_hours, {LEGS_TEXT_SQL} AS evidence FROM legs""",
     ),
 )
 def rapid_evidence(spark, sf_dir):
@@ -103,12 +108,51 @@ def rapid_evidence(spark, sf_dir):
     )
 
 
-@query("alert_payload")
+_PAYLOAD = f"""{SCORED}, {CASES_SQL}, {BURST.replace("alerts", "burst_alerts")},
+{LEGS.replace("alerts", "leg_alerts")},
+burst_said AS (SELECT transaction_id, {BURST_TEXT_SQL} AS burst_text FROM burst),
+legs_said AS (SELECT transaction_id, {LEGS_TEXT_SQL} AS legs_text FROM legs)"""
+
+
+@query(
+    "alert_payload",
+    with_tables(
+        _PAYLOAD,
+        """SELECT printf('ALERT-%04d', position) AS id, strftime(t, '%Y-%m-%d %H:%M') AS ts,
+  sender_account AS sender, receiver_account AS receiver, round(amount, 2) AS amount,
+  sender_country AS "from", receiver_country AS "to", transaction_type AS type, channel,
+  replace(reason, ', ', '|') AS reasons, escalation_channel AS channel_label,
+  round(anomaly_pct * 100, 1) AS score, priority,
+  array_to_string(list_filter([
+    CASE WHEN structuring THEN burst_text END, CASE WHEN rapid_movement THEN legs_text END,
+    CASE WHEN high_risk_country THEN sender_country || ' → ' || receiver_country || ': one leg touches a '
+      || 'high-risk jurisdiction. On its own this screen is the noisiest rule in the system, so it only '
+      || 'escalates when the transaction is also behaviourally unusual.' END,
+    CASE WHEN round_amount THEN '£' || format('{:,.0f}', amount) || ' exactly, a whole-pound amount at size. '
+      || 'Organic retail payments rarely land on a round number.' END,
+    CASE WHEN rule_reasons = '' THEN 'No rule fired. The model placed this in the top 0.1% of the book on '
+      || 'amount shape, timing, velocity and counterparty spread: the channel that exists for typologies '
+      || 'nobody wrote a rule for.' END], lambda x: x IS NOT NULL), '|') AS evidence
+FROM queue LEFT JOIN burst_said USING (transaction_id) LEFT JOIN legs_said USING (transaction_id)""",
+    ),
+)
 def alert_payload(spark, sf_dir):
+    """The nested records with their two arrays joined to text, so that values compare."""
+    rows = scored(spark, sf_dir)
+    ranking = Ranking(rows)
+    opened = cases.open_cases(evaluation.combined(rows, ranking), ranking)
+    records = evidence.case_payload(cases.queue(opened), rows, band_low=0.60)
+    return records.withColumns({c: F.array_join(c, "|") for c in ("reasons", "evidence")})
+
+
+@query("alert_payload_nested")
+def alert_payload_nested(spark, sf_dir):
+    """The records as they are written: arrays inside, one JSON object per case."""
     rows = scored(spark, sf_dir)
     ranking = Ranking(rows)
     opened = cases.open_cases(evaluation.combined(rows, ranking), ranking)
-    return evidence.case_payload(cases.queue(opened), rows, band_low=0.60)
+    records = evidence.case_payload(cases.queue(opened), rows, band_low=0.60)
+    return records.select("id", F.to_json(F.struct(*records.columns)).alias("record"))
 
 
 @query(

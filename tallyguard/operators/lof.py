@@ -170,30 +170,39 @@ def neighbours(points: DataFrame, k: int = C.NEIGHBOURS) -> DataFrame:
     own = stage(_closest(_block_join(cells, cells, k), k), "own-cell")
     if len(pivots) == 1:
         return own
-    radius = np.full(len(pivots), -1.0)
-    for row in cells.groupBy("cell").agg(F.max("away").alias("r")).collect():  # one per pivot
-        radius[row["cell"]] = row["r"]
+    radius, held = np.full(len(pivots), -1.0), np.zeros(len(pivots))
+    per_cell = cells.groupBy("cell").agg(F.max("away").alias("r"), F.sum("copies").alias("n"))
+    for row in per_cell.collect():  # one per pivot
+        radius[row["cell"]], held[row["cell"]] = row["r"], row["n"]
     bound = own.groupBy("q").agg(F.sum("weight").alias("w"), F.max("dist").alias("reach"))
     reach = F.when(F.col("w") >= k, F.col("reach")).otherwise(F.lit(float("inf")))
     queries = cells.join(bound, cells.point == bound.q, "left").select(
         "point", "x", "copies", "cell", F.coalesce(reach, F.lit(float("inf"))).alias("reach")
     )
-    shared = points.sparkSession.sparkContext.broadcast((pivots, radius, distances(pivots, pivots)))
+    shared = points.sparkSession.sparkContext.broadcast(
+        (pivots, radius, held, distances(pivots, pivots))
+    )
 
     @F.pandas_udf("array<int>")
     def to_visit(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        centres, radii, between = shared.value
+        centres, radii, rows_in, between = shared.value
         for x, cell, limit in parts:
             d = distances(np.stack(x.to_numpy()).astype(np.float64), centres)
             home = cell.to_numpy()
             rows = np.arange(len(d))
+            # whole cells that hold k other rows cap the distance of the k-th neighbour
+            far = np.where(radii >= 0, d + radii, np.inf)
+            order = far.argsort(1)
+            enough = (np.cumsum(rows_in[order], axis=1) > k).argmax(1)
+            cap = np.where(rows_in.sum() > k, far[rows, order[rows, enough]], np.inf)
+            limit = np.minimum(limit.to_numpy(), cap)
             gap = between[home]
             # distance to the plane halfway between the own pivot and the other one
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = (d * d - (d[rows, home] ** 2)[:, None]) / (2.0 * gap)
             plane = np.where(gap > 0, plane, 0.0)
             least = np.maximum(d - radii[None, :], plane)
-            open_ = (least <= limit.to_numpy()[:, None] + 1e-9) & (radii >= 0)[None, :]
+            open_ = (least <= limit[:, None] + 1e-6 * (1 + limit[:, None])) & (radii >= 0)[None, :]
             open_[rows, home] = False
             yield pd.Series([np.flatnonzero(row).astype(np.int32) for row in open_])
 
