@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from tallyguard.catalog import inputs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,3 +30,26 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+SPLIT = (
+    "structuring_flags",
+    "rapid_movement_flags_default_floor",
+    "rules_applied",
+    "clean_book",
+    "feature_matrix",
+    "structuring_evidence",
+    "rapid_evidence",
+    "whatif_all",
+)
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_query_with_every_account_split(spark, db, name, monkeypatch):
+    from tallyguard.plans import skew
+
+    share, rows = 0.01, 20
+    monkeypatch.setattr(skew.find_hot, "__defaults__", (*skew.find_hot.__defaults__[:2], share, rows))
+    assert len(skew.find_hot(inputs.book(spark, FOLDER)).cuts) > 10
+    verdict, _ = check.compare(spark, db, FOLDER, name)
+    assert verdict.startswith("ok"), verdict
