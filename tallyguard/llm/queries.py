@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import os
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secret_scan, simhash
+from . import bpe, cover_tree, license_scan, mixing, pii, ppm, quality, secret_scan, simhash, urls
+
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +52,42 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def tokenizer_json() -> str:
+    """The tokenizer's file, from the folder in PUBLIC_TOKENIZERS or the installed package."""
+    folder = os.environ.get("PUBLIC_TOKENIZERS")
+    if folder:
+        path = os.path.join(folder, TOKENIZER)
+    else:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 over the ids as little-endian unsigned 32-bit numbers."""
+    for batch in batches:
+        lists = batch.column("ids")
+        flat, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+        digests = [hashlib.sha256(flat[s:e].tobytes()).hexdigest() for s, e in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(digests), batch.column("text")],
+            names=["doc_id", "n_tokens", "ids_sha256", "text"],
+        )
+
+
+@query("op1_bpe_roundtrip")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokenizer_json()
+    coded = bpe.encode(documents(spark, sf_dir), tokenizer)
+    both = bpe.decode(coded, tokenizer)
+    digested = both.mapInArrow(_ids_digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, text string")
+    return digested.select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 @query("op2_mix_sources")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
@@ -53,12 +95,82 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_pii_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+@query("op4_ppm_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        "held_out",
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+@query("op5_url_templates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return span_digest(found, secret_scan.BASE_KINDS)
 
 
+LICENSE_SQL = (
+    """
+WITH templates(license, body) AS (VALUES """
+    + ", ".join(f"('{name}', '{body}')" for name, body in license_scan.TEMPLATES.items())
+    + r"""),
+worded AS (
+  SELECT 0 AS kind, doc_id, '' AS license, string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS parts FROM documents
+  UNION ALL
+  SELECT 1, NULL, license, string_split_regex(lower(body), '[^a-z0-9]+') FROM templates),
+listed AS (SELECT kind, doc_id, license, list_filter(parts, lambda w: w <> '') AS w FROM worded),
+shingled AS (
+  SELECT DISTINCT kind, doc_id, license, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' '))) AS s
+  FROM listed WHERE len(w) >= 5),
+sized AS (SELECT license, count(*) AS n FROM shingled WHERE kind = 1 GROUP BY license),
+found AS (
+  SELECT d.doc_id, t.license, count(*) AS hits
+  FROM shingled d JOIN shingled t ON d.s = t.s AND d.kind = 0 AND t.kind = 1 GROUP BY ALL),
+kept AS (SELECT doc_id, license, hits / n AS containment FROM found JOIN sized USING (license) WHERE hits / n >= 0.8)
+SELECT d.doc_id, count(k.license) AS n_licenses, coalesce(string_agg(k.license, ',' ORDER BY k.license), '') AS licenses,
+  max(k.containment) AS best
+FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id
+"""
+)
+
+
+@query("op7_license_scan", LICENSE_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["name"]), ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda x: x["containment"])).alias("best"),
+    )
+
+
 @query("op8_simhash_groups")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
@@ -69,6 +181,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_cover_tree")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return cover_tree.near_duplicates(vectors).withColumnRenamed("id", "vec_id")
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
