@@ -11,6 +11,7 @@ from . import (  # noqa: F401  (registration)
     evidence_queries,
     whatif_queries,
     model_queries,
+    report_queries,
 )
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -268,25 +268,27 @@ def amount_bands(spark, sf_dir):
     "amount_histogram",
     with_tables(
         BOOK,
-        """SELECT CAST(least(floor(least(amount, 5000.0) / (5000.0 / 60)) + 1, 60) AS BIGINT) AS bin,
-  count(*) AS n FROM book WHERE amount >= 0 GROUP BY 1""",
+        """SELECT CAST(greatest(least(floor(amount / (5000.0 / 60)) + 1, 60), 1) AS BIGINT) AS bin,
+  count(*) AS n FROM book WHERE amount IS NOT NULL GROUP BY 1""",
     ),
 )
 def amount_histogram(spark, sf_dir):
-    return profiling.histogram(book(spark, sf_dir), F.col("amount"), 0, 5000, 60, clip=True)
+    return profiling.histogram(book(spark, sf_dir), F.col("amount"), 60, 0.0, 5000.0)
 
 
 @query(
     "amount_histogram_log",
     with_tables(
         BOOK,
-        """SELECT CAST(least(floor(log10(amount) / (5.0 / 60)) + 1, 60) AS BIGINT) AS bin, count(*) AS n
-FROM book WHERE amount > 0 AND log10(amount) BETWEEN 0 AND 5 GROUP BY 1""",
+        """SELECT CAST(least(floor((x - lo) / ((hi - lo) / 60)) + 1, 60) AS BIGINT) AS bin, count(*) AS n
+FROM (SELECT round(log10(amount), 9) AS x FROM book WHERE amount > 0),
+  (SELECT min(round(log10(amount), 9)) AS lo, max(round(log10(amount), 9)) AS hi FROM book WHERE amount > 0)
+GROUP BY 1""",
     ),
 )
 def amount_histogram_log(spark, sf_dir):
     positive = book(spark, sf_dir).filter("amount > 0")
-    return profiling.histogram(positive, F.log10("amount"), 0, 5, 60)
+    return profiling.histogram(positive, F.round(F.log10("amount"), 9), 60)
 
 
 @query(

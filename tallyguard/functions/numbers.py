@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def cents(amount: Column) -> Column:
-    """Money as whole pennies, so that sums do not depend on their order."""
-    return F.round(amount * 100).cast("bigint")
+    """Money as whole pennies, so that sums do not depend on their order.
+
+    NULL for what is no number of pennies (NaN, or beyond 64 bits).
+    """
+    return F.round(amount * 100).try_cast("bigint")
 
 
 def in_band(amount: Column, threshold: float, low: float) -> Column:
@@ -33,8 +36,8 @@ def ratio(top: Column, bottom: Column, digits: int = 4) -> Column:
 
 
 def priority(pct: Column) -> Column:
-    """Right-closed bins of a percentile."""
-    return F.when(pct <= 0.90, "low").when(pct <= 0.99, "medium").otherwise("high")
+    """Right-closed bins of a percentile; a row without one is low."""
+    return F.when(pct.isNull() | (pct <= 0.90), "low").when(pct <= 0.99, "medium").otherwise("high")
 
 
 def hashed_uniform(key: Column, seed: int, low: float, high: float) -> Column:

@@ -34,11 +34,13 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def standardised(raw: DataFrame, spellings: dict[str, str] | None = None) -> DataFrame:
-    """Typed timestamps and folded country names; the original NULLs stay NULL."""
+    """Typed timestamps and folded country names; the original NULLs stay NULL, and a NaN
+    amount, which is how a file spells a missing one, becomes NULL."""
     spellings = COUNTRY_SPELLINGS if spellings is None else spellings
     return raw.withColumns(
         {
             "timestamp": parse_timestamp(F.col("timestamp")),
+            "amount": F.nullif(F.col("amount"), F.lit(float("nan"))),
             "sender_country": folded(F.col("sender_country"), spellings),
             "receiver_country": folded(F.col("receiver_country"), spellings),
         }

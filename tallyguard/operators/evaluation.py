@@ -27,6 +27,12 @@ def with_labels(df: DataFrame, label_file: DataFrame) -> DataFrame:
     )
 
 
+def with_scores(flagged: DataFrame, scores: DataFrame, score: str = "score") -> DataFrame:
+    """Attach scores by ``row_key``; rows alike in every column share the smallest of theirs."""
+    single = scores.groupBy("row_key").agg(F.min(score).alias(score))
+    return flagged.join(single, "row_key")
+
+
 def any_of(names: Iterable[str]) -> Column:
     first, *rest = [F.col(n) for n in names]
     for flag in rest:

@@ -14,7 +14,6 @@ from ..functions.numbers import cents
 from ..plans import HotKeys, find_hot, paired, running
 from .rules import with_clock
 
-EXACT = "decimal(38,0)"
 # kinds of timeline rows; probes are PROBE, PROBE + 1, ...
 OPENING, EVENT, FIRST_SEEN, PROBE = -1, 0, 1, 2
 BEGINNING = -(2**60)  # before any payment, in microseconds
@@ -63,6 +62,9 @@ def history(
     ``met_in`` names a cheaper source of the same payments to find first meetings in.
     ``opened`` (account, opened) adds each account's opening day as ``opened``: it is the
     first event of the timeline, which saves joining the book to the customers.
+
+    A payment whose account is unknown has no past: it gets a timeline of its own, so such
+    rows neither share a history nor meet in one task.
     """
     velocities = velocities or {}
     key, other = f"{side}_account", ("receiver" if side == "sender" else "sender") + "_account"
@@ -93,8 +95,9 @@ def history(
         row(PROBE + i, F.col("us") - round(hours * C.HOUR), 0)
         for i, hours in enumerate(velocities.values())
     ]
+    alone = F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string"))
     timeline = df.select(
-        F.col(key).alias("account"),
+        F.coalesce(F.col(key), alone).alias("account"),
         F.col("transaction_id"),
         F.col("us").alias("us0"),
         F.explode(F.array(event, *probes)).alias("e"),
@@ -109,7 +112,9 @@ def history(
         }
     if distinct:
         firsts = (
-            (df if met_in is None else met_in).groupBy(F.col(key).alias("account"), F.col(other).alias("_other"))
+            (df if met_in is None else met_in)
+            .filter(F.col(key).isNotNull())
+            .groupBy(F.col(key).alias("account"), F.col(other).alias("_other"))
             .agg(F.min(F.struct("us", "transaction_id")).alias("first"))
             .select(
                 "account",

@@ -273,18 +273,22 @@ def amount_bands(book: DataFrame, threshold: float = C.REPORTING_THRESHOLD) -> D
 
 
 def histogram(
-    df: DataFrame, value: Column, low: float, high: float, bins: int, clip: bool = False
+    df: DataFrame, value: Column, bins: int, low: float | None = None, high: float | None = None
 ) -> DataFrame:
-    """Rows per equal-width bin (numbered from 1); the last bin includes its upper edge."""
-    x = F.least(value, F.lit(float(high))) if clip else value
-    width = (high - low) / bins
-    slot = F.least(F.floor((x - low) / width) + 1, F.lit(bins).cast("bigint"))
-    return (
-        df.select(x.alias("x"), slot.alias("bin"))
-        .filter(F.col("x").between(low, high))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Rows per equal-width bin (numbered from 1); the last bin includes its upper edge.
+
+    Without ends the bins span the values' own range. Values beyond given ends count in the
+    first or the last bin; every row with a value is counted.
+    """
+    rows = df.select(F.nullif(value, F.lit(float("nan"))).alias("x")).filter("x IS NOT NULL")
+    if low is None or high is None:
+        ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        low = ends["lo"] if low is None else low
+        high = ends["hi"] if high is None else high
+    width = ((high or 0.0) - (low or 0.0)) / bins or 1.0
+    slot = F.floor((F.col("x") - F.lit(float(low or 0.0))) / F.lit(width)) + 1
+    clipped = F.greatest(F.least(slot, F.lit(bins).cast("bigint")), F.lit(1).cast("bigint"))
+    return rows.groupBy(clipped.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def busiest(book: DataFrame, column: str, n: int = 6) -> DataFrame:

@@ -18,6 +18,7 @@ from ..plans import HotKeys, find_hot, paired, running
 from ..plans.skew import CHUNK
 
 SIDES = ("receiver", "sender")
+ROW = "row_key"
 
 
 def with_clock(df: DataFrame) -> DataFrame:
@@ -26,6 +27,18 @@ def with_clock(df: DataFrame) -> DataFrame:
     return df.withColumn("us", F.unix_micros(F.col("timestamp").cast("timestamp")))
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add ``row_key``, by which flags and scores of one row meet where ids repeat.
+
+    128 hash bits of the row; rows that are alike in every column share one.
+    """
+    if ROW in df.columns:
+        return df
+    own = sorted(df.columns)
+    halves = [F.hex(F.xxhash64(*own)), F.hex(F.xxhash64(F.lit("row"), *own))]
+    return df.withColumn(ROW, F.concat(*halves))
+
+
 def _hot(df: DataFrame, hot: HotKeys | None) -> HotKeys:
     return find_hot(df) if hot is None else hot
 
@@ -196,14 +209,12 @@ def is_round(min_amount: float = C.ROUND_MIN_AMOUNT) -> Column:
 
 
 def high_risk_country(
-    book: DataFrame, countries: Iterable[str] = C.HIGH_RISK_COUNTRIES, hot: HotKeys | None = None
+    book: DataFrame, countries: Iterable[str] = C.HIGH_RISK_COUNTRIES
 ) -> DataFrame:
     return book.filter(is_high_risk(countries)).select("transaction_id")
 
 
-def round_amount(
-    book: DataFrame, min_amount: float = C.ROUND_MIN_AMOUNT, hot: HotKeys | None = None
-) -> DataFrame:
+def round_amount(book: DataFrame, min_amount: float = C.ROUND_MIN_AMOUNT) -> DataFrame:
     return book.filter(is_round(min_amount)).select("transaction_id")
 
 

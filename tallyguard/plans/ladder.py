@@ -79,14 +79,16 @@ def attach_by_value(
 ) -> DataFrame:
     """Join ladder columns back to rows; values shared by many rows do not skew the join.
 
+    All rows stay: those without a value get NULL ladder columns.
+
     Hot values hold more than ``share`` of the rows each, so at most ``1 / share`` of them
     are broadcast; every other value goes through an ordinary shuffle join.
     """
     total, top = steps.agg(F.sum("n"), F.max("n")).first()
     bar = max(limit, int((total or 0) * share))
     if not total or top <= bar:
-        return rows.join(steps, value)
+        return rows.join(steps, value, "left")
     common = F.broadcast(steps.filter(F.col("n") > bar))
     rest = steps.filter(F.col("n") <= bar)
-    usual = rows.join(common.select(value), value, "left_anti").join(rest, value)
+    usual = rows.join(common.select(value), value, "left_anti").join(rest, value, "left")
     return rows.join(common, value).unionByName(usual)

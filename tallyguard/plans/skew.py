@@ -1,48 +1,41 @@
 """Hot accounts: find them, split their timelines, salt their lookups.
 
-An account is hot when it holds more than ``share`` of all account legs, so there are
-never more than ``1 / share`` of them: that is the size bound of everything collected
-or broadcast here, whatever the size of the book.
+An account is hot when it has more than ``CHUNK_ROWS`` legs, whatever the size of the book,
+so no chunk of a timeline grows with it. Hot accounts and the boundaries of their chunks are
+tables in the shared folder; they are joined like any other, and the optimizer broadcasts them
+only while their size allows it. Boundaries are quantiles, ``FAN`` slices at a time: a slice
+that is still too large is cut again, so chunks hold about equally many rows at any scale.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .stage import stage
 
 CHUNK = "_chunk"
 SALT = "_salt"
-HOT_SHARE = 1 / 5_000
-MIN_HOT_ROWS = 1_000_000
-MAX_CUTS = 64
-MAX_CELLS = 64
-
-_CUTS = T.StructType(
-    [
-        T.StructField("_hot_key", T.StringType()),
-        T.StructField("_cuts", T.ArrayType(T.LongType())),
-        T.StructField("_cells", T.IntegerType()),
-    ]
-)
+CHUNK_ROWS = 2_000_000
+NULL_PARTS = 1024  # over which rows without an account are dealt
+FAN = 64  # slices that one level of boundaries makes
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """``cuts``: per hot account, time boundaries of slices that hold equal row counts,
-    and into how many equal cells each slice is divided again."""
+    """``keys(_hot_key, _parts)``: hot accounts and into how many parts their rows go.
+
+    ``levels(_hot_key, _slice, _cuts)``: the time boundaries inside a slice, level by level.
+    """
 
-    cuts: dict[str, tuple[list[int], int]] = field(default_factory=dict)
+    keys: DataFrame | None = None
+    levels: tuple[DataFrame, ...] = ()
+    fan: int = FAN
 
     def __bool__(self) -> bool:
-        return bool(self.cuts)
-
-    def _table(self, spark: SparkSession) -> DataFrame:
-        rows = [(key, bounds, cells) for key, (bounds, cells) in self.cuts.items()]
-        return F.broadcast(spark.createDataFrame(rows, _CUTS))
+        return self.keys is not None
 
     def split(self, df: DataFrame, account: str = "account", us: str = "us") -> DataFrame:
         """Add the chunk number: -1 for ordinary accounts, else growing with time.
@@ -50,105 +43,95 @@ class HotKeys:
         Chunks are monotone in ``us``, so per-chunk work plus a carried total equals
         the work over the whole timeline wherever the boundaries happen to lie.
         """
-        if not self:
-            return df.withColumn(CHUNK, F.lit(-1))
-        out = df.join(self._table(df.sparkSession), F.col(account) == F.col("_hot_key"), "left")
-        return out.withColumn(CHUNK, F.coalesce(_chunk_of(F.col(us)), F.lit(-1))).drop(
-            "_hot_key", "_cuts", "_cells"
-        )
+        out = df.withColumn(CHUNK, F.lit(-1).cast("bigint"))
+        for level, table in enumerate(self.levels):
+            first = F.when(F.col("_hot_key").isNull(), F.lit(-1)).otherwise(F.lit(0))
+            out = _sliced(out, table, account, us, first if level == 0 else F.col(CHUNK), self.fan)
+        return out
 
     def lookup(self, df: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
         """Left join to a table with one row per account, hot accounts salted.
 
-        Only the (bounded) hot rows of ``dim`` are repeated, once per salt.
+        Only the hot rows of ``dim`` are repeated, once per part of their account.
         """
         if not self:
             return df.join(dim, F.col(key) == F.col(dim_key), "left").drop(dim_key)
-        spark = df.sparkSession
-        hot = F.broadcast(
-            spark.createDataFrame([(k,) for k in self.cuts], "_hot_key string")
-        )
-        salts = MAX_CUTS * 4
+        # rows without a key match nothing and may lie anywhere
+        into = F.when(F.col(key).isNull(), NULL_PARTS).otherwise(F.coalesce("_parts", F.lit(1)))
+        salt = F.pmod(F.xxhash64(*df.columns), into)
         rows = (
-            df.join(hot, F.col(key) == F.col("_hot_key"), "left")
-            .withColumn(
-                SALT,
-                F.when(
-                    F.col("_hot_key").isNotNull(),
-                    F.pmod(F.xxhash64(*df.columns), F.lit(salts)),
-                ).otherwise(F.lit(0).cast("bigint")),
-            )
-            .drop("_hot_key")
+            df.join(self.keys, F.col(key) == F.col("_hot_key"), "left")
+            .withColumn(SALT, salt)
+            .drop("_hot_key", "_parts")
         )
+        parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)
         copies = (
-            dim.join(hot, F.col(dim_key) == F.col("_hot_key"), "left")
-            .withColumn(
-                "_dim_salt",
-                F.explode(
-                    F.when(
-                        F.col("_hot_key").isNotNull(),
-                        F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")),
-                    ).otherwise(F.array(F.lit(0).cast("bigint")))
-                ),
-            )
-            .drop("_hot_key")
+            dim.join(self.keys, F.col(dim_key) == F.col("_hot_key"), "left")
+            .withColumn("_dim_salt", F.explode(parts))
+            .drop("_hot_key", "_parts")
         )
         on = (F.col(key) == F.col(dim_key)) & (F.col(SALT) == F.col("_dim_salt"))
         return rows.join(copies, on, "left").drop(dim_key, "_dim_salt", SALT)
 
 
-def _chunk_of(us: Column) -> Column:
-    cuts, cells = F.col("_cuts"), F.col("_cells")
-    last = F.size(cuts) - 2  # number of the last slice
-    at = F.least(
-        F.greatest(F.size(F.filter(cuts, lambda b: b <= us)) - 1, F.lit(0)),
-        last,
-    )
-    lo, hi = F.get(cuts, at), F.get(cuts, at + 1)
-    cell = F.floor((us - lo) * cells / (hi - lo + 1))
-    cell = F.least(F.greatest(cell, F.lit(0).cast("bigint")), (cells - 1).cast("bigint"))
-    return (at * cells + cell).cast("int")
+def _sliced(
+    df: DataFrame, table: DataFrame, account: str, us: str, chunk: Column, fan: int
+) -> DataFrame:
+    """Every slice becomes ``fan`` finer ones; ordinary rows keep -1."""
+    on = F.col(account) == F.col("_hot_key")
+    joined = df.join(table, on & (F.greatest(CHUNK, F.lit(0)) == F.col("_slice")), "left")
+    cuts = F.col("_cuts")
+    slot = F.size(F.filter(cuts, lambda b: b <= F.col(us))) - 1
+    slot = F.coalesce(F.least(F.greatest(slot, F.lit(0)), F.size(cuts) - 2), F.lit(0))
+    finer = F.when(chunk < 0, F.lit(-1)).otherwise(F.greatest(chunk, F.lit(0)) * fan + slot)
+    return joined.withColumn(CHUNK, finer.cast("bigint")).drop("_hot_key", "_slice", "_cuts")
 
 
 def find_hot(
     df: DataFrame,
     accounts: tuple[str, ...] = ("sender_account", "receiver_account"),
     us: str | None = "us",
-    share: float = HOT_SHARE,
-    min_rows: int = MIN_HOT_ROWS,
+    rows: int = CHUNK_ROWS,
+    fan: int = FAN,
 ) -> HotKeys:
     """Hot accounts of a book, counted over both legs.
 
-    One narrow pass with map-side counts; a second one, over the hot rows only, when
-    there are any. The boundaries steer balance, never results; without ``us`` only the
-    accounts are found, for lookups.
+    One narrow pass with map-side counts; further ones, over the hot rows only, when there
+    are any. The boundaries steer balance, never results; without ``us`` only the accounts
+    are found, for lookups. An unknown account is nobody's timeline and never hot.
     """
     clock = F.col(us) if us else F.lit(0).cast("bigint")
     legs = df.select(F.explode(F.array(*accounts)).alias("account"), clock.alias("us")).filter(
         "account IS NOT NULL"
     )
     counts = legs.groupBy("account").agg(F.count(F.lit(1)).alias("n"))
-    total, top = counts.agg(F.sum("n"), F.max("n")).first()
-    if not total or top <= max(min_rows, total * share):
+    top = counts.agg(F.max("n")).first()[0] or 0
+    if top <= rows:
         return HotKeys()
-    limit = max(min_rows, math.ceil(total * share))
-    hot = counts.filter(F.col("n") > limit).select("account")
-    probs = [i / MAX_CUTS for i in range(MAX_CUTS + 1)]
-    found = (
-        legs.join(F.broadcast(hot), "account", "left_semi")
-        .groupBy("account")
-        .agg(
+    parts = F.ceil(F.col("n") / F.lit(rows)).alias("_parts")
+    keys = stage(counts.filter(F.col("n") > rows).select(F.col("account").alias("_hot_key"), parts), "hot")
+    levels: list[DataFrame] = []
+    timed = legs.join(keys.select(F.col("_hot_key").alias("account")), "account", "left_semi")
+    quantiles = [i / fan for i in range(fan + 1)]
+    while us and top > rows:
+        placed = HotKeys(keys, tuple(levels), fan).split(timed)
+        slices = placed.groupBy("account", F.greatest(CHUNK, F.lit(0)).alias("_slice")).agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("us", probs, 1_000).alias("cuts"),
+            F.percentile_approx("us", quantiles, 1_000).alias("q"),
             F.min("us").alias("lo"),
             F.max("us").alias("hi"),
         )
-        .collect()
-    )
-    cuts = {}
-    for row in found:
-        inner = sorted({b for b in row["cuts"] if row["lo"] < b < row["hi"]})
-        parts = math.ceil(row["n"] / limit)
-        cells = min(MAX_CELLS, max(1, math.ceil(parts / MAX_CUTS)))
-        cuts[row["account"]] = ([row["lo"], *inner, row["hi"]], cells)
-    return HotKeys(cuts)
+        inner = F.array_distinct(F.filter("q", lambda b: (b > F.col("lo")) & (b < F.col("hi"))))
+        cut = slices.filter((F.col("n") > rows) & (F.col("hi") > F.col("lo"))).select(
+            F.col("account").alias("_hot_key"),
+            "_slice",
+            F.concat(F.array("lo"), inner, F.array("hi")).alias("_cuts"),
+            "n",
+        )
+        table = stage(cut, "hot-cuts")
+        largest = table.agg(F.max("n")).first()[0]
+        if not largest:
+            break  # what is left are rows of one instant
+        levels.append(table.drop("n"))
+        top = -(-largest // fan)
+    return HotKeys(keys, tuple(levels), fan)

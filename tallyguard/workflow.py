@@ -82,9 +82,10 @@ def score(book: DataFrame, customers: DataFrame, hot: HotKeys, **forest_options)
     """Anomaly scores of a forest fitted on the book, and its node table."""
     levels = features.observed_levels(book)
     names = features.feature_names(levels)
-    matrix = stage(features.build_features(book, customers, levels, hot), "features")
+    matrix = features.build_features(book, customers, levels, hot, keep=(rules.ROW,))
+    matrix = stage(matrix, "features")
     forest, model = isolation.fit_forest(matrix, names, **forest_options)
-    return stage(forest.apply(matrix).select("transaction_id", "score"), "scores"), model
+    return stage(forest.apply(matrix).select(rules.ROW, "score"), "scores"), model
 
 
 def detect(
@@ -97,7 +98,7 @@ def detect(
     **forest_options,
 ) -> dict[str, DataFrame]:
     """Rules, model, combination, metrics, case list, payload and account graph."""
-    book = rules.with_clock(book)
+    book = rules.with_clock(rules.with_row_key(book))
     hot = find_hot(book)
     (scores, model), flagged, hops, accounts = together(
         lambda: score(book, customers, hot, **forest_options),
@@ -107,7 +108,7 @@ def detect(
         lambda: stage(network.chains(book), "hops"),
         lambda: stage(network.funnel_accounts(book), "funnels"),
     )
-    scored = stage(flagged.join(scores, "transaction_id"), "scored")
+    scored = stage(evaluation.with_scores(flagged, scores), "scored")
     ranking = Ranking(scored)
     decided = evaluation.combined(scored, ranking)
     queue, strategies, by_rule = together(
@@ -138,8 +139,9 @@ def detect(
         "funnel_recall": network.funnel_recall(flagged, accounts),
         "chain_cases": network.chain_cases(flagged, hops),
         "forest": model,
+        "transactions_scored": decided.drop(rules.ROW),
     }
-    as_table = {"case_list", "funnels", "chains", "gain", "forest"}
+    as_table = {"case_list", "funnels", "chains", "gain", "forest", "transactions_scored"}
     together(
         *[
             lambda name=name, table=table: (write_table if name in as_table else write_json)(

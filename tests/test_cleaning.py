@@ -142,8 +142,14 @@ def test_many_copies_and_a_salted_lookup(spark):
     customers = from_rows(
         spark, [{"account_id": "A", "home_country": "France"}], schemas.CUSTOMERS
     )
-    hot = HotKeys({"A": ([0, 1], 1)})
+    hot = HotKeys(spark.createDataFrame([("A", 7)], "_hot_key string, _parts bigint"))
     log = cleaning.cleaning_log(cleaning.traced(raw, customers, hot=hot)).first()
     assert log["rows_in"] == 120 and log["sender_country_imputed"] == 70
     assert log["exact_duplicates_dropped"] == 118 and log["near_duplicates_dropped"] == 1
     assert log["rows_out"] == 1
+
+
+def test_nan_amount_is_a_missing_amount(spark):
+    rows, rejected, log = run(spark, {"amount": float("nan")})
+    assert rows == [] and [r["quarantine_reason"] for r in rejected] == ["amount_missing"]
+    assert log["quarantined_missing_amount"] == 1 and log["amount_over_50k_kept"] == 0

@@ -41,6 +41,9 @@ SPLIT = (
     "structuring_evidence",
     "rapid_evidence",
     "whatif_all",
+    "case_list",
+    "alert_payload",
+    "velocity_features",
 )
 
 
@@ -48,8 +51,7 @@ SPLIT = (
 def test_query_with_every_account_split(spark, db, name, monkeypatch):
     from tallyguard.plans import skew
 
-    share, rows = 0.01, 20
-    monkeypatch.setattr(skew.find_hot, "__defaults__", (*skew.find_hot.__defaults__[:2], share, rows))
-    assert len(skew.find_hot(inputs.book(spark, FOLDER)).cuts) > 10
+    monkeypatch.setattr(skew.find_hot, "__defaults__", (*skew.find_hot.__defaults__[:2], 20, 8))
+    assert skew.find_hot(inputs.book(spark, FOLDER)).keys.count() > 10
     verdict, _ = check.compare(spark, db, FOLDER, name)
     assert verdict.startswith("ok"), verdict

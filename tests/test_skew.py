@@ -15,8 +15,9 @@ from tallyguard.plans.skew import CHUNK
 
 @pytest.fixture(scope="module")
 def hot(skewed):
-    found = find_hot(skewed, share=0.02, min_rows=20)
-    assert "HOT" in found.cuts and len(found.cuts["HOT"][0]) > 10
+    found = find_hot(skewed, rows=20)
+    cuts = {r["_hot_key"]: r["_cuts"] for r in found.levels[0].collect()}
+    assert len(cuts["HOT"]) > 10
     return found
 
 
@@ -25,18 +26,27 @@ def rows(skewed):
     return [r.asDict() for r in skewed.collect()]
 
 
+@pytest.fixture(scope="module")
+def fine(skewed):
+    """Boundaries of several levels, as a very busy account has them."""
+    found = find_hot(skewed, rows=10, fan=3)
+    assert len(found.levels) > 2
+    return found
+
+
 @pytest.fixture(params=["plain", "split", "fine"])
 def plan(request, hot):
     if request.param == "plain":
         return HotKeys()
     if request.param == "split":
         return hot
-    return HotKeys({key: (cuts, 7) for key, (cuts, _) in hot.cuts.items()})
+    return request.getfixturevalue("fine")
 
 
 def test_hot_accounts_are_few_and_found(skewed, hot):
     assert not find_hot(skewed)  # far below the default size
-    assert len(hot.cuts) <= 1 / 0.02
+    busy = skewed.selectExpr("explode(array(sender_account, receiver_account)) AS a").groupBy("a").count()
+    assert hot.keys.count() == busy.filter("count > 20").count()
 
 
 def test_chunks_grow_with_time(skewed, hot):
