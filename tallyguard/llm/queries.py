@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, license_scan, mixing, pii, ppm, quality, secret_scan, simhash, urls
+from . import bpe, cover_tree, license_scan, mixing, oracles, pii, ppm, quality, secret_scan, simhash, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -88,7 +88,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_mix_sources")
+@query("op2_mix_sources", oracles.MIX)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -122,7 +122,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_url_templates")
+@query("op5_url_templates", oracles.URLS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -134,33 +134,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, secret_scan.BASE_KINDS)
 
 
-LICENSE_SQL = (
-    """
-WITH templates(license, body) AS (VALUES """
-    + ", ".join(f"('{name}', '{body}')" for name, body in license_scan.TEMPLATES.items())
-    + r"""),
-worded AS (
-  SELECT 0 AS kind, doc_id, '' AS license, string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS parts FROM documents
-  UNION ALL
-  SELECT 1, NULL, license, string_split_regex(lower(body), '[^a-z0-9]+') FROM templates),
-listed AS (SELECT kind, doc_id, license, list_filter(parts, lambda w: w <> '') AS w FROM worded),
-shingled AS (
-  SELECT DISTINCT kind, doc_id, license, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' '))) AS s
-  FROM listed WHERE len(w) >= 5),
-sized AS (SELECT license, count(*) AS n FROM shingled WHERE kind = 1 GROUP BY license),
-found AS (
-  SELECT d.doc_id, t.license, count(*) AS hits
-  FROM shingled d JOIN shingled t ON d.s = t.s AND d.kind = 0 AND t.kind = 1 GROUP BY ALL),
-kept AS (SELECT doc_id, license, hits / n AS containment FROM found JOIN sized USING (license) WHERE hits / n >= 0.8)
-SELECT d.doc_id, count(k.license) AS n_licenses, coalesce(string_agg(k.license, ',' ORDER BY k.license), '') AS licenses,
-  max(k.containment) AS best
-FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id
-"""
-)
-
-
-@query("op7_license_scan", LICENSE_SQL)
+@query("op7_license_scan", oracles.LICENSES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(
@@ -181,13 +155,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_cover_tree")
+@query("op9_cover_tree", oracles.COVER_TREE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return cover_tree.near_duplicates(vectors).withColumnRenamed("id", "vec_id")
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", oracles.QUALITY)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select(
