@@ -14,6 +14,7 @@ have a fixed size: no task grows with the corpus.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import stage_root
+
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 48 << 20  # text per shard; its distinct words are a small part of that
 
@@ -30,16 +33,26 @@ def shard_count(docs: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) -> i
     return 1 + int(size // shard_bytes)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers, seven bits a byte, the first bytes of all before the second ones."""
+    rest, planes = values.astype(np.uint64), []
+    while len(rest):
+        more = rest > 127
+        planes.append(((rest & 127) | (more.astype(np.uint64) << 7)).astype(np.uint8).tobytes())
+        rest = rest[more] >> 7
+    return struct.pack("<q", len(values)) + b"".join(planes)
+
+
 def pack(*parts: np.ndarray | bytes) -> bytes:
-    """Arrays of unsigned 32-bit numbers (byte planes apart, which compress well) and raw bytes."""
+    """Compressed arrays of unsigned numbers and raw bytes."""
     import zstandard
 
     out = []
     for part in parts:
         if isinstance(part, np.ndarray):
-            part = part.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            part = _planes(part)
         out += [struct.pack("<q", len(part)), part]
-    return zstandard.ZstdCompressor(level=6).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(payload: bytes) -> list[bytes]:
@@ -54,7 +67,14 @@ def unpack(payload: bytes) -> list[bytes]:
 
 
 def numbers(part: bytes) -> np.ndarray:
-    return np.frombuffer(part, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    """The unsigned 32-bit numbers of a part that was packed as an array."""
+    (size,) = struct.unpack_from("<q", part)
+    values, where, at, shift = np.zeros(size, np.uint32), np.arange(size), 8, 0
+    while len(where):
+        plane = np.frombuffer(part, np.uint8, len(where), at)
+        values[where] |= (plane & 127).astype(np.uint32) << shift
+        at, shift, where = at + len(where), shift + 7, where[plane > 127]
+    return values
 
 
 def pack_words(words: list[bytes], *columns: np.ndarray) -> bytes:
@@ -69,6 +89,17 @@ def unpack_words(payload: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return words, [numbers(c) for c in columns]
 
 
+def stage_blocks(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Write rows of blocks to the shared folder, bucketed by ``block``.
+
+    What is gathered per block later meets these rows where they lie; they are never shuffled.
+    """
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{stage_root(rows.sparkSession)}/tallyguard-{rows.sparkSession.sparkContext.applicationId}/{table}"
+    rows.write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def block_name(seen: int) -> int:
     """A number no other block of the same job has."""
     from pyspark import TaskContext

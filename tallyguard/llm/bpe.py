@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stage import stage
 from .blocks import (
     BLOCK_BYTES,
     SHARD_BYTES,
@@ -42,6 +41,7 @@ from .blocks import (
     pack,
     pack_words,
     shard_count,
+    stage_blocks,
     unpack,
     unpack_words,
 )
@@ -54,6 +54,8 @@ OLDER = (
     r"| ?(?:[^\s\p{L}\p{N}]|[NEW])+|\s+(?!\S)|\s+"
 )
 
+_AT_ONCE = 1 << 18  # words whose ids are joined back at once
+
 _SPLIT = "block bigint, ids array<bigint>, lengths array<int>, sequence binary, shard int, words binary"
 _IDS = "block bigint, coded binary"
 
@@ -207,12 +209,19 @@ def _join_back(blocks: pa.Table, coded: pa.Table) -> pa.Table:
     order = np.argsort(np.concatenate(places))
     flat, sizes = np.concatenate(flats), np.concatenate(sizes)
     by_place, sizes = gather(flat, np.cumsum(sizes), order)
+    ends = np.cumsum(sizes)
     sequence = numbers(unpack(blocks.column("sequence")[0].as_py())[0])
-    tokens, per_word = gather(by_place, np.cumsum(sizes), sequence)
-    lengths = np.array(blocks.column("lengths")[0].as_py(), np.int64)
-    ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(lengths)])]
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.astype(np.int32)))
-    return pa.table({"id": blocks.column("ids")[0].values, "ids": lists})
+    ids = blocks.column("ids")[0].values
+    words = np.concatenate([[0], np.cumsum(np.array(blocks.column("lengths")[0].as_py(), np.int64))])
+    parts, first = [], 0
+    while first < len(ids):  # some documents at a time, for little memory beside the result
+        last = max(first + 1, int(np.searchsorted(words, words[first] + _AT_ONCE, "right")) - 1)
+        tokens, per_word = gather(by_place, ends, sequence[words[first] : words[last]])
+        cuts = np.concatenate([[0], np.cumsum(per_word)])[words[first : last + 1] - words[first]]
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+        parts.append(pa.table({"id": ids.slice(first, last - first), "ids": lists}))
+        first = last
+    return pa.concat_tables(parts)
 
 
 def encode(
@@ -228,7 +237,7 @@ def encode(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     shards = shard_count(rows, "text", shard_bytes)
     work = _split_blocks(special, newer_characters(tokenizer_json), shards, block_bytes)
-    split = stage(rows.mapInArrow(work, _SPLIT), "bpe-blocks")
+    split = stage_blocks(rows.mapInArrow(work, _SPLIT), shards, "bpe_blocks")
     words = split.filter("shard IS NOT NULL").select("block", "shard", "words")
     coded = words.groupBy("shard").applyInArrow(_encode_shard(tokenizer_json), _IDS)
     blocks = split.filter("shard IS NULL").select("block", "ids", "lengths", "sequence")
@@ -253,8 +262,8 @@ def pieces(tokenizer_json: str) -> list[bytes]:
     return table
 
 
-def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """Add the text of each array of ids, special tokens included; null ids give an empty text."""
+def decoder(tokenizer_json: str, ids: str = "ids", out: str = "text"):
+    """A function on batches that adds the text of each array of ids."""
     table = pieces(tokenizer_json)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +273,11 @@ def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str =
             texts = [b"".join(map(piece, x.as_py() or ())).decode("utf-8", "replace") for x in lists]
             yield batch.append_column(out, pa.array(texts, pa.string()))
 
+    return work
+
+
+def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Add the text of each array of ids, special tokens included; null ids give an empty text."""
     plain = encoded.drop(out)
     schema = T.StructType([*plain.schema.fields, T.StructField(out, T.StringType())])
-    return plain.mapInArrow(work, schema)
+    return plain.mapInArrow(decoder(tokenizer_json, ids, out), schema)

@@ -6,7 +6,6 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,27 +64,34 @@ def tokenizer_json() -> str:
         return file.read()
 
 
-def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 over the ids as little-endian unsigned 32-bit numbers."""
-    for batch in batches:
-        lists = batch.column("ids")
-        flat, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-        digests = [hashlib.sha256(flat[s:e].tobytes()).hexdigest() for s, e in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(digests), batch.column("text")],
-            names=["doc_id", "n_tokens", "ids_sha256", "text"],
-        )
+def _digested(decoded: Callable) -> Callable:
+    """Decode batches of ids and keep digests: of the ids as little-endian unsigned 32-bit
+    numbers, and of the decoded text."""
+
+    def hashed(values: Iterator[bytes]) -> pa.Array:
+        return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500))
+        for batch in decoded(small):
+            ids = [x.values.to_numpy().astype("<u4") for x in batch.column("ids")]
+            columns = [
+                batch.column("id"),
+                pa.array([len(x) for x in ids], pa.int64()),
+                hashed(x.tobytes() for x in ids),
+                hashed(x.as_py() for x in batch.column("text").cast(pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return work
 
 
 @query("op1_bpe_roundtrip")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = tokenizer_json()
     coded = bpe.encode(documents(spark, sf_dir), tokenizer)
-    both = bpe.decode(coded, tokenizer)
-    digested = both.mapInArrow(_ids_digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, text string")
-    return digested.select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
-    )
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return coded.mapInArrow(_digested(bpe.decoder(tokenizer)), schema)
 
 
 @query("op2_mix_sources", oracles.MIX)
