@@ -8,7 +8,7 @@ from ..operators import cases, evaluation, evidence, rules
 from ..operators.evaluation import Ranking
 from .evaluation_queries import CASES_SQL
 from .inputs import PARAMS, book, labelled, scored
-from .registry import query
+from .registry import ORACLE, query
 from .tables_sql import BOOK, FLAGGED, SCORED, rapid_sql, structuring_sql, with_tables
 
 _NEAR = "amount >= 10000 * 0.60 AND amount < 10000"
@@ -145,14 +145,16 @@ def alert_payload(spark, sf_dir):
     return records.withColumns({c: F.array_join(c, "|") for c in ("reasons", "evidence")})
 
 
-@query("alert_payload_nested")
+@query("alert_payload_nested", ORACLE["alert_payload"])
 def alert_payload_nested(spark, sf_dir):
-    """The records as they are written: arrays inside, one JSON object per case."""
+    """The records as they are written, one JSON object per case, read again field by field."""
     rows = scored(spark, sf_dir)
     ranking = Ranking(rows)
     opened = cases.open_cases(evaluation.combined(rows, ranking), ranking)
     records = evidence.case_payload(cases.queue(opened), rows, band_low=0.60)
-    return records.select("id", F.to_json(F.struct(*records.columns)).alias("record"))
+    written = records.select(F.to_json(F.struct(*records.columns)).alias("record"))
+    read = written.select(F.from_json("record", records.schema).alias("r")).select("r.*")
+    return read.withColumns({c: F.array_join(c, "|") for c in ("reasons", "evidence")})
 
 
 @query(

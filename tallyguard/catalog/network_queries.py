@@ -42,6 +42,38 @@ def funnel_accounts(spark, sf_dir):
     return network.funnel_accounts(book(spark, sf_dir))
 
 
+_SUMMARY = """
+recall AS (
+  SELECT *, round(of_those_caught_as_funnels / CAST(greatest(structuring_beneficiary_accounts, 1)
+    AS DOUBLE), 4) AS funnel_recall
+  FROM (SELECT count(*) AS accounts_in_book,
+    count(*) FILTER (near_threshold_senders >= 3) AS funnel_accounts_flagged,
+    (SELECT count(DISTINCT receiver_account) FROM labelled WHERE label = 1 AND amount < 10000)
+      AS structuring_beneficiary_accounts,
+    count(*) FILTER (near_threshold_senders >= 3 AND receiver_account IN (
+      SELECT receiver_account FROM labelled WHERE label = 1 AND amount < 10000)) AS of_those_caught_as_funnels
+    FROM funnels)),
+inside AS (
+  SELECT count(*) AS chain_transactions, CAST(sum(label) AS BIGINT) AS known_cases_in_chains,
+    (SELECT count(*) FROM hops) AS chain_hops_found
+  FROM labelled WHERE transaction_id IN (SELECT hop_in FROM hops UNION SELECT hop_out FROM hops))"""
+
+
+@query(
+    "network_summary",
+    with_tables(
+        f"{BOOK}, {LABELS}, labelled AS (SELECT * FROM book LEFT JOIN labels USING (transaction_id)), "
+        f"{_FUNNELS}, {_HOPS}, {_SUMMARY}",
+        """SELECT recall.*, inside.*, (SELECT CAST(sum(label) AS BIGINT) FROM labelled)
+  AS transaction_alerts_for_the_same_ground FROM recall, inside""",
+    ),
+)
+def network_summary(spark, sf_dir):
+    payments = book(spark, sf_dir)
+    known = with_labels(payments, testbook.labels(spark, sf_dir))
+    return network.summary(known, network.funnel_accounts(payments), network.chains(payments))
+
+
 @query("chain_hops", with_tables(f"{BOOK}, {_HOPS}", "SELECT * FROM hops"))
 def chain_hops(spark, sf_dir):
     return network.chains(book(spark, sf_dir))

@@ -37,6 +37,7 @@ NUMERIC = (
     "pct_of_threshold",
 )
 CATEGORICAL = ("transaction_type", "channel")
+MAX_LEVELS = 500  # per category; each becomes a column
 
 
 def history(
@@ -247,10 +248,15 @@ def with_tenure(book: DataFrame, customers: DataFrame, hot: HotKeys | None = Non
     ).drop("opened")
 
 
-def observed_levels(book: DataFrame) -> dict[str, list[str]]:
-    """Category levels in the book, to be frozen with a model. Few by their nature."""
-    sets = book.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in CATEGORICAL]).first()
-    return {c: list(sets[c]) for c in CATEGORICAL}
+def observed_levels(book: DataFrame, most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Category levels in the book, to be frozen with a model; ValueError beyond ``most``."""
+    levels = {}
+    for column in CATEGORICAL:
+        found = book.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1)
+        levels[column] = sorted(r[0] for r in found.collect())
+        if len(levels[column]) > most:
+            raise ValueError(f"{column} has more than {most} levels: it is no category")
+    return levels
 
 
 def one_hot(levels: dict[str, list[str]]) -> dict[str, Column]:

@@ -51,9 +51,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _collapse(rows: DataFrame) -> DataFrame:
-    """``point`` (hash of the coordinates), ``x`` and the number of ``copies``."""
+    """``point`` (a number no other point has), ``x`` and the number of ``copies``.
+
+    The numbers hold from the moment the rows are staged, as the caller does.
+    """
     return rows.groupBy("x").agg(F.count(F.lit(1)).alias("copies")).withColumn(
-        "point", F.xxhash64("x")
+        "point", F.monotonically_increasing_id()
     )
 
 
@@ -62,7 +65,7 @@ def _pivots(points: DataFrame, n: int) -> np.ndarray:
     wanted = max(1, min(MAX_PIVOTS, math.ceil(n / CELL_POINTS)))
     width = 1 << 30
     share = min(1.0, (wanted + 4 * math.sqrt(wanted)) / n)
-    draw = F.pmod(F.xxhash64("point", F.lit(7)), F.lit(width))
+    draw = F.pmod(F.xxhash64("x", F.lit(7)), F.lit(width))
     rows = (
         points.filter(draw < math.ceil(width * share))
         .select("x", draw.alias("draw"), "point")

@@ -153,6 +153,18 @@ def chain_cases(labelled: DataFrame, hops: DataFrame) -> DataFrame:
     ).withColumn("chain_hops_found", hops.agg(count.alias("n")).scalar())
 
 
+def summary(labelled: DataFrame, accounts: DataFrame, hops: DataFrame) -> DataFrame:
+    """One row: funnels, chains and the transaction alerts that cover the same ground."""
+    alerts = labelled.agg(F.coalesce(F.sum(LABEL), F.lit(0)).cast("bigint").alias("n"))
+    inside = chain_cases(labelled, hops).select(F.struct("*").alias("c"))
+    return (
+        funnel_recall(labelled, accounts)
+        .withColumn("c", inside.scalar())
+        .select("*", "c.*", alerts.scalar().alias("transaction_alerts_for_the_same_ground"))
+        .drop("c")
+    )
+
+
 def funnel_recall(
     labelled: DataFrame, accounts: DataFrame, threshold: float = C.REPORTING_THRESHOLD
 ) -> DataFrame:

@@ -3,11 +3,12 @@
 from .ladder import attach_by_value, ladder, numbered
 from .running import paired, running
 from .skew import HotKeys, find_hot
-from .stage import stage, together
+from .stage import clear, stage, together
 
 __all__ = [
     "HotKeys",
     "attach_by_value",
+    "clear",
     "find_hot",
     "ladder",
     "numbered",

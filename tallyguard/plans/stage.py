@@ -43,6 +43,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has staged; tables that still read it are lost."""
+    path = f"{stage_root(spark)}/tallyguard-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def together(*actions: Callable[[], Any]) -> list[Any]:
     """Submit independent Spark actions at once, so that short ones fill the gaps of long ones."""
     with ThreadPoolExecutor(max_workers=max(1, len(actions))) as pool:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas
@@ -80,10 +79,3 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per row, nested columns kept."""
     df.write.mode(mode).json(path)
 
-
-def write_by_flag(
-    df: DataFrame, reason: str, kept: str, rejected: str, fmt: str = "parquet"
-) -> None:
-    """Split one staged table into accepted rows and reason-coded rejects."""
-    write_table(df.filter(F.col(reason).isNull()).drop(reason), kept, fmt)
-    write_table(df.filter(F.col(reason).isNotNull()), rejected, fmt)

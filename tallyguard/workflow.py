@@ -5,7 +5,8 @@ Tables that several later steps read are written once; every output stays a Spar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import (
     cases,
@@ -79,13 +80,36 @@ def clean(
 
 
 def score(book: DataFrame, customers: DataFrame, hot: HotKeys, **forest_options):
-    """Anomaly scores of a forest fitted on the book, and its node table."""
+    """Anomaly scores of a forest fitted on the book, its node table and category levels."""
     levels = features.observed_levels(book)
     names = features.feature_names(levels)
     matrix = features.build_features(book, customers, levels, hot, keep=(rules.ROW,))
     matrix = stage(matrix, "features")
     forest, model = isolation.fit_forest(matrix, names, **forest_options)
-    return stage(forest.apply(matrix).select(rules.ROW, "score"), "scores"), model
+    return stage(forest.apply(matrix).select(rules.ROW, "score"), "scores"), model, levels
+
+
+REPORT = (
+    "dataset",
+    "rules",
+    "contribution",
+    "strategies",
+    "sweep",
+    "headline",
+    "rule_summary",
+    "case_counts",
+    "network_summary",
+)
+
+
+def metrics_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with an array of records per table; every table has a few rows by design."""
+    return spark.range(1).select(
+        *[
+            t.agg(F.collect_list(F.struct(*t.columns)).alias("rows")).scalar().alias(name)
+            for name, t in tables.items()
+        ]
+    )
 
 
 def detect(
@@ -100,7 +124,7 @@ def detect(
     """Rules, model, combination, metrics, case list, payload and account graph."""
     book = rules.with_clock(rules.with_row_key(book))
     hot = find_hot(book)
-    (scores, model), flagged, hops, accounts = together(
+    (scores, model, levels), flagged, hops, accounts = together(
         lambda: score(book, customers, hot, **forest_options),
         lambda: stage(
             evaluation.with_labels(rules.apply_all(book, params, hot), label_file), "flagged"
@@ -136,13 +160,16 @@ def detect(
         "payload": evidence.case_payload(queue, book, hot=hot, **band),
         "funnels": accounts.filter("is_funnel"),
         "chains": hops,
-        "funnel_recall": network.funnel_recall(flagged, accounts),
-        "chain_cases": network.chain_cases(flagged, hops),
-        "forest": model,
+        "network_summary": network.summary(flagged, accounts, hops),
         "transactions_scored": decided.drop(rules.ROW),
     }
-    as_table = {"case_list", "funnels", "chains", "gain", "forest", "transactions_scored"}
+    report = [k for k in REPORT if k in tables]
+    tables["metrics_report"] = metrics_report(book.sparkSession, {k: tables[k] for k in report})
+    as_table = {"case_list", "funnels", "chains", "gain", "transactions_scored"}
     together(
+        lambda: isolation.save_model(
+            model, features.feature_names(levels), levels, f"{out}/forest"
+        ),
         *[
             lambda name=name, table=table: (write_table if name in as_table else write_json)(
                 table, f"{out}/{name}"
@@ -163,7 +190,11 @@ def run(
     params: dict[str, dict] | None = None,
     **forest_options,
 ) -> dict[str, DataFrame]:
-    """Everything, from the raw feed to the analyst queue, under the folder ``out``."""
+    """Everything, from the raw feed to the analyst queue, under the folder ``out``.
+
+    The feed is read twice, as text and typed, and staged: all later passes read columns.
+    """
+    raw_text, raw = together(lambda: stage(raw_text, "raw-text"), lambda: stage(raw, "raw"))
     _, (book, quarantine, log) = together(
         lambda: write_profile(raw_text, customers, out),
         lambda: clean(raw, customers, out, spellings),

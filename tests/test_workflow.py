@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyguard import reports, workflow
 from tallyguard.operators import rules
-from tallyguard.plans import stage
+from tallyguard.plans import clear, stage
 from tallyguard.plans.stage import stage_root
 from tallyguard.sources import files, schemas, testbook
 
@@ -190,3 +190,51 @@ def test_unseen_category_gives_zeros(spark):
     cols = features.one_hot({"transaction_type": ["payment", "transfer"], "channel": ["online_transfer"]})
     row = book.select(*[c.alias(n) for n, c in cols.items()]).first()
     assert list(row) == [0.0, 0.0, 1.0]
+
+
+def test_saved_model_scores_alone(spark, finished):
+    from tallyguard.operators import features, isolation, rules
+
+    out, tables = finished
+    forest, levels = isolation.load_model(spark, f"{out}/forest")
+    assert forest.names == features.feature_names(levels)
+    people = spark.createDataFrame([("ACC000001", "X", dt.date(2020, 1, 1))], schemas.CUSTOMERS)
+    book = rules.with_row_key(book_of(spark, [payment(i, i) for i in range(5)]))
+    matrix = features.build_features(book, people, levels, keep=(rules.ROW,))
+    scores = [r["score"] for r in forest.apply(matrix).collect()]
+    assert len(scores) == 5 and all(0 < s < 1 for s in scores)
+
+
+def test_reports_and_scored_book_are_written(spark, finished):
+    out, tables = finished
+    report = spark.read.json(f"{out}/metrics_report").first()
+    assert {r["strategy"] for r in report["strategies"]} >= {"any_rule", "combined_final"}
+    assert len(report["network_summary"]) == len(report["headline"]) == 1
+    scored = spark.read.parquet(f"{out}/transactions_scored")
+    book = spark.read.parquet(f"{out}/transactions_clean")
+    assert scored.count() == book.count()
+    assert {"score", "label", "rule_alert", "final_alert"} <= set(scored.columns)
+
+
+def test_repeated_ids_stay_rows(spark):
+    from tallyguard.operators import evaluation, rules
+
+    rows = [payment(1, 0, "A", "B", 5000.0), payment(1, 1, "C", "D", 70.5), payment(2, 2)]
+    book = rules.with_row_key(book_of(spark, rows))
+    scores = book.select("row_key", F.col("amount").alias("score"))
+    joined = evaluation.with_scores(rules.apply_all(book), scores).collect()
+    assert sorted((r["transaction_id"], r["score"]) for r in joined) == sorted(
+        (r[0], r[4]) for r in rows
+    )
+
+
+def test_clear_removes_staged_tables(spark, tmp_path):
+    """Of one application only; the session stands in for one with another folder."""
+    real = spark.sparkContext
+    other = {"master": "local", "applicationId": "app-1", "_jvm": real._jvm, "_jsc": real._jsc}
+    session = _Session("local", str(tmp_path))
+    session.sparkContext = type("Context", (), other)()
+    for app in ("app-1", "app-2"):
+        spark.range(3).write.parquet(f"{tmp_path}/tallyguard-{app}/t")
+    clear(session)
+    assert [p.name for p in tmp_path.iterdir()] == ["tallyguard-app-2"]
