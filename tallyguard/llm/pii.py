@@ -2,14 +2,14 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns with a validity test and are always
 reported. Beside them, generators of high recall propose overlapping spans: anything like an
-address with an at sign, spelled out or not, and any long number, which is proposed as a phone
-number, a card and an ip at once. Format and context (number of digits, groups, separators, the
+address with an at sign, spelled out or not, any long number, which is proposed as a phone
+number, a card and an ip at once, and any run of digits as long as a card's. Format and context (number of digits, groups, separators, the
 word before) are binned into a cell; the cells are a finite set. Over the whole corpus each
 cell's spans are counted, those that pass the base test apart; what the base test itself looks
 at (the plus sign, the check digit, the at sign's form) is no feature. Boosted trees are
 fitted to the counts of one half of the documents, per kind; the other half calibrates the
-threshold: the lowest score from which on the share of true spans reaches ``precision``. The
-trees are evaluated on every cell once, and spans in cells above the threshold are reported if
+threshold: the lowest score down to which the spans of every score are true to the share
+``precision``. The trees are evaluated on every cell once, and spans in cells above the threshold are reported if
 they do not overlap a base span. Driver and plan hold cells, never spans.
 
 Positions are code points, ends exclusive. Possessive patterns keep matching linear in the
@@ -48,6 +48,7 @@ LIKE_EMAIL = (
     r"(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)*+"
 )
 LIKE_NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9])++"
+LIKE_CARD = r"(?<![0-9])[0-9]{13,19}+(?![0-9])"  # also where the base sees one longer number
 _CUES = (
     r"^(tel|phone|telephone|call|mobile|fax|telefon|telefono|tel.fono|anruf|appel)$",
     r"^(card|visa|mastercard|credit|tarjeta|carte|karte|iban|account)$",
@@ -199,6 +200,7 @@ class Generator:
 GENERATORS = (
     Generator(LIKE_EMAIL, ("email",), (4, 5, 4, 5)),
     Generator(LIKE_NUMBER, ("ip", "card", "phone"), (7, 5, 5, 5)),
+    Generator(LIKE_CARD, ("card",), (7, 5, 5, 5)),
 )
 
 
@@ -231,12 +233,16 @@ def boosted(x: np.ndarray, n: np.ndarray, true: np.ndarray, rounds: int = ROUNDS
 
 
 def threshold(score: np.ndarray, n: np.ndarray, true: np.ndarray, precision: float) -> float:
-    """Lowest score from which on enough calibration spans are true often enough; inf if none."""
-    order = np.argsort(-score, kind="stable")
-    all_n, all_true = np.cumsum(n[order]), np.cumsum(true[order])
-    last = np.append(np.diff(score[order]) != 0, True)  # cells of one score stand together
-    good = last & (all_n >= MIN_SPANS) & (all_true >= precision * all_n)
-    return float(score[order][np.flatnonzero(good)[-1]]) if good.any() else float("inf")
+    """Lowest score down to which the spans of every score are true often enough.
+
+    inf if fewer than ``MIN_SPANS`` calibration spans lie there.
+    """
+    levels, level = np.unique(-score, return_inverse=True)
+    spans, right = np.bincount(level, n), np.bincount(level, true)
+    seen = np.flatnonzero(spans > 0)
+    wrong = seen[right[seen] < precision * spans[seen]]
+    good = seen[seen < (wrong[0] if len(wrong) else len(levels))]
+    return float(-levels[good[-1]]) if spans[good].sum() >= MIN_SPANS else float("inf")
 
 
 def _selected(found: DataFrame, number: int, precision: float) -> dict[str, list[int]]:
@@ -261,10 +267,10 @@ def _selected(found: DataFrame, number: int, precision: float) -> dict[str, list
     return chosen
 
 
-def _picked(proposals: str, at: int, kind: str, cells: list[int]) -> Column:
-    """Spans of one kind in the selected cells that the base test does not accept."""
-    new = F.filter(proposals, lambda s: s["cell"].isin(cells) & ~s["true"][at])
-    return F.transform(new, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"], s["end"]))
+def _picked(proposals: str, kind: str, cells: list[int]) -> Column:
+    """Spans of one kind in the selected cells."""
+    chosen = F.filter(proposals, lambda s: s["cell"].isin(cells))
+    return F.transform(chosen, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"], s["end"]))
 
 
 def find(
@@ -294,15 +300,15 @@ def find(
     for number, generator in enumerate(GENERATORS):
         chosen = _selected(found, number, precision)
         more += [
-            _picked(f"like_{number}", i, kind, chosen[kind])
-            for i, kind in enumerate(generator.kinds)
+            _picked(f"like_{number}", kind, chosen[kind])
+            for kind in generator.kinds
             if chosen[kind]
         ]
     base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"], F.lit(True).alias("base")))
     spans = base
     if more:
         clear = F.filter(
-            F.concat(*more),
+            F.array_except(F.concat(*more), "base"),  # each span once, those of the base left out
             lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
         )
         added = F.transform(clear, lambda s: F.struct(s["kind"], s["start"], s["end"], F.lit(False).alias("base")))

@@ -82,6 +82,20 @@ def test_trees_select_spans_the_base_misses(spark):
         assert added == ([] if i % 20 else [phone])
 
 
+def test_two_cards_in_a_row(spark):
+    """The base sees one number that is too long; the overlapping proposals find both."""
+    def card(i):
+        body = f"4{i:014d}"
+        return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+    rows = [(i, f"paid with {card(i)} on time") for i in range(200)]
+    rows.append((999, f"paid with {card(500)} {card(501)} on time"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    assert [(s["start"], s["end"], s["base"]) for s in found[999]] == [(10, 26, False), (27, 43, False)]
+    assert all(len(found[i]) == 1 and found[i][0]["base"] for i in range(200))
+
+
 def test_clean_text_stays_clean(spark):
     rows = [(i, f"there were {i} birds and {1000 + i} trees in 20{i % 90 + 10}, page 12-{i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
