@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import CHUNK, HotKeys
+from .stage import stage
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 _CARRY = "_carry"
@@ -52,8 +53,10 @@ def running(
 
     # an own input column per total, since its carry row brings that total's own value
     inputs = {out: f"_in_{out}" for out in totals}
-    chunked = hot.split(df).withColumns(
-        {inputs[out]: F.col(src) for out, (_, src) in totals.items()}
+    # staged, since the chunks' totals and their rows both read it
+    chunked = stage(
+        hot.split(df).withColumns({inputs[out]: F.col(src) for out, (_, src) in totals.items()}),
+        "timeline",
     )
     per_chunk = (
         chunked.filter(F.col(CHUNK) >= 0)

@@ -308,3 +308,11 @@ def test_account_age(spark, skewed, rows, plan):
     got = features.with_tenure(skewed, spark.createDataFrame(people, schemas.CUSTOMERS), plan)
     for r in got.collect():
         assert r["sender_account_age_days"] == ages.get(r["transaction_id"], median)
+
+
+def test_split_path_reads_its_input_once(skewed, hot):
+    """The timeline is staged: the plan of a running total reads no table but that one."""
+    legs = skewed.selectExpr("sender_account AS account", "us", "transaction_id", "1L AS one")
+    read = running(legs, ["account"], ["us", "transaction_id"], {"n": ("sum", "one")}, hot)
+    files = {f.split("/")[-2] for f in read.inputFiles()}
+    assert len(files) == 1 and files.pop().startswith("timeline-")
