@@ -3,7 +3,7 @@
 Distinct values are counted first (ties collapse map-side), then range-partitioned and
 staged together with their partition number. Each partition is ranked on its own and
 shifted by the total of the partitions before it; that offset table has one row per
-shuffle partition, which bounds the only broadcast made here.
+range of half a million rows.
 """
 
 from __future__ import annotations
@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from .stage import stage
 
 _RANGE = "_range"
+RANGE_ROWS = 500_000  # rows that one task ranks
 
 
 def _ranged(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
-    """Rows in global order with ``<sum>_before`` (exclusive) per summed column."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows in global order with ``<sum>_before`` (exclusive) per summed column.
+
+    The number of ranges follows the number of rows, so that no range grows with the table.
+    """
+    rows = stage(df, f"{name}-rows")
+    parts = 1 + rows.count() // RANGE_ROWS
     placed = stage(
-        df.repartitionByRange(parts, *order).withColumn(_RANGE, F.spark_partition_id()), name
+        rows.repartitionByRange(parts, *order).withColumn(_RANGE, F.spark_partition_id()), name
     )
     per_range = placed.groupBy(_RANGE).agg(*[F.sum(c).alias(c) for c in sums])
     earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -31,7 +36,7 @@ def _ranged(df: DataFrame, order: list[Column], sums: list[str], name: str) -> D
         Window.partitionBy(_RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        placed.join(F.broadcast(offsets), _RANGE)
+        placed.join(offsets, _RANGE)
         .select(
             *df.columns,
             *[

@@ -116,3 +116,13 @@ def test_priority_bins_are_right_closed(spark):
     df = spark.createDataFrame([(0.0,), (0.9,), (0.9001,), (0.99,), (0.9901,), (1.0,)], "p double")
     got = [r[0] for r in df.select(priority(F.col("p"))).collect()]
     assert got == ["low", "low", "medium", "medium", "high", "high"]
+
+
+def test_many_small_ranges(scored, table, monkeypatch):
+    import sys
+
+    monkeypatch.setattr(sys.modules["tallyguard.plans.ladder"], "RANGE_ROWS", 40)
+    rows = numbered(scored, [F.asc("score"), F.asc("transaction_id")]).orderBy("position").collect()
+    want = table.sort_values(["score", "transaction_id"])["transaction_id"].tolist()
+    assert [r["transaction_id"] for r in rows] == want
+    assert [r["position"] for r in rows] == list(range(1, len(want) + 1))
