@@ -22,7 +22,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +100,21 @@ def newer_characters(tokenizer_json: str) -> str:
     return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
 
 
+def _latin() -> Callable[[str], list[str]]:
+    """Words of a text whose characters are all below 256: the classes listed one by one, which
+    the plain expression engine scans faster. A word that begins with an apostrophe is a
+    contraction first, so contractions may stand after the classes they cannot begin with."""
+    import regex
+
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(kind, chr(c)))
+    letter, number, space = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    pattern = (
+        f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{letter}{number}{space}]+"
+        f"|[{space}]+(?![^{space}])|[{space}]+"
+    )
+    return re.compile(pattern).findall
+
+
 def splitter(special: list[str], new: str = "") -> Callable[[str], list[str]]:
     """A function from a text to its words, special tokens among them as words.
 
@@ -105,14 +122,16 @@ def splitter(special: list[str], new: str = "") -> Callable[[str], list[str]]:
     """
     import regex
 
-    plain = regex.compile(PATTERN).findall
-    words = plain
-    if new:
-        any_new = regex.compile(f"[{new}]").search
-        older = regex.compile(OLDER.replace("NEW", new), regex.VERSION1).findall
+    latin, plain = _latin(), regex.compile(PATTERN).findall
+    any_new = regex.compile(f"[{new}]").search if new else lambda text: None
+    older = regex.compile(OLDER.replace("NEW", new), regex.VERSION1).findall if new else plain
 
-        def words(text: str) -> list[str]:
-            return older(text) if not text.isascii() and any_new(text) else plain(text)
+    def words(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return older(text) if any_new(text) else plain(text)
+        return latin(text)
 
     if not special:
         return words
@@ -130,6 +149,13 @@ def splitter(special: list[str], new: str = "") -> Callable[[str], list[str]]:
     return split
 
 
+def _numbering() -> dict:
+    """A table that gives every new key the next number."""
+    index: defaultdict = defaultdict()
+    index.default_factory = index.__len__
+    return index
+
+
 def _split_blocks(special: list[str], new: str, shards: int, block_bytes: int):
     """Rows of blocks (ids, lengths, sequence) and rows of their words by shard."""
 
@@ -151,17 +177,17 @@ def _split_blocks(special: list[str], new: str, shards: int, block_bytes: int):
         split, seen, held = splitter(special, new), 0, 0
         ids: list = []
         parts: list[np.ndarray] = []
-        index: dict[str, int] = {}
+        index = _numbering()
         for batch in batches:
             for doc, text in zip(batch.column("id"), batch.column("text")):
                 text = text.as_py() or ""
-                number = [index.setdefault(w, len(index)) for w in split(text)]
-                parts.append(np.array(number, np.uint32))
+                words = split(text)
+                parts.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc.as_py())
                 held += len(text)
                 if held >= block_bytes:
                     yield close(block_name(seen), ids, parts, index)
-                    ids, parts, index, held, seen = [], [], {}, 0, seen + 1
+                    ids, parts, index, held, seen = [], [], _numbering(), 0, seen + 1
         if ids:
             yield close(block_name(seen), ids, parts, index)
 
@@ -178,18 +204,20 @@ def _encode_shard(tokenizer_json: str):
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        table: dict[bytes, np.ndarray] = {}
+        index, flat, ends = _numbering(), np.array([], np.uint32), np.array([], np.int64)
         for batch in batches:
             for block, payload in zip(batch.column("block"), batch.column("words")):
                 words, (gaps,) = unpack_words(payload.as_py())
-                new = [w for w in words if w not in table]
+                known = len(index)
+                number = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                new = [w.decode() for w in islice(reversed(index), len(index) - known)][::-1]
                 for start in range(0, len(new), 10_000):
-                    part = new[start : start + 10_000]
-                    coded = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                    table.update((w, np.array(c.ids, np.uint32)) for w, c in zip(part, coded))
-                found = [table[w] for w in words]
-                sizes = np.fromiter(map(len, found), np.uint32, len(found))
-                answer = pack(gaps, sizes, np.concatenate(found))
+                    coded = tokenizer.encode_batch(new[start : start + 10_000], add_special_tokens=False)
+                    ids = [c.ids for c in coded]
+                    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                    ends = np.concatenate([ends, len(flat) + np.cumsum(sizes)])
+                    flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+                answer = pack(gaps, *reversed(gather(flat, ends, number)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block.as_py()], pa.int64()), pa.array([answer], pa.binary())],
                     names=["block", "coded"],
@@ -267,10 +295,10 @@ def decoder(tokenizer_json: str, ids: str = "ids", out: str = "text"):
     table = pieces(tokenizer_json)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.__getitem__
+        piece = np.array(table, dtype=object)
         for batch in batches:
-            lists = batch.column(ids)
-            texts = [b"".join(map(piece, x.as_py() or ())).decode("utf-8", "replace") for x in lists]
+            lists = [x.values.to_numpy() if x.is_valid else [] for x in batch.column(ids)]
+            texts = [b"".join(piece[x].tolist()).decode("utf-8", "replace") if len(x) else "" for x in lists]
             yield batch.append_column(out, pa.array(texts, pa.string()))
 
     return work
