@@ -40,7 +40,7 @@ class Rule:
     high: float | None = None
 
     def holds(self) -> Column:
-        value = F.col(f"_m.{self.measure}")
+        value = F.col(f"_quality_measures.{self.measure}")
         ends = [value >= self.low] if self.low is not None else []
         ends += [value <= self.high] if self.high is not None else []
         passes = F.lit(True)
@@ -139,10 +139,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     them in repeated windows of five) or a rule of the table does.
     """
     c = _measures(F.col(text))
-    out = docs.withColumn("_c", c)
-    g = lambda name: F.col(f"_c.{name}")
+    out = docs.withColumn("_quality_counts", c)
+    g = lambda name: F.col(f"_quality_counts.{name}")
     out = out.withColumn(
-        "_m",
+        "_quality_measures",
         F.struct(
             _ratio(g("word_chars"), g("w.n_words")).alias("mean_word_length"),
             _ratio(g("n_symbols"), g("w.n_words")).alias("symbols_per_word"),
@@ -168,7 +168,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
             "base_failed": failed,
             "kept": ~failed & verdict,
         }
-    ).drop("_m", "_c")
+    ).drop("_quality_measures", "_quality_counts")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
