@@ -202,11 +202,18 @@ def keep_first(
     first = marked.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("late"), "id", "content")).alias("first")
     )
-    chosen = first.select(F.col("first.id").alias("_id"), F.col("first.content").alias("_content"))
+    chosen = first.select(_name("first.id").alias("_id"), F.col("first.content").alias("_content"))
     own = docs.columns
     found = docs.toDF(*[f"_{i}" for i in range(len(own))])
     at = lambda name: f"_{own.index(name)}"
-    keyed = found.withColumns({"_id": F.col(at(id_col)).cast("bigint"), "_content": _content(at(text))})
-    same = keyed["_id"].eqNullSafe(chosen["_id"]) & (keyed["_content"] == chosen["_content"])
-    kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["_id", "_content"])
-    return kept.drop("_id", "_content").toDF(*own)
+    keyed = found.withColumns({"_id": _name(at(id_col)), "_content": _content(at(text))})
+    kept = keyed.join(chosen, ["_id", "_content"], "left_semi")
+    # the join has brought equal rows together, so numbering them moves nothing
+    copy = F.row_number().over(Window.partitionBy("_id", "_content").orderBy("_id", "_content"))
+    single = kept.withColumn("_copy", copy).filter("_copy = 1")
+    return single.drop("_id", "_content", "_copy").toDF(*own)
+
+
+def _name(id_col: str) -> Column:
+    """The id as a text that is never null, for joins on equality."""
+    return F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.lit("none"))
