@@ -24,7 +24,7 @@ from .text import SPACE, let, word_count
 
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating
 EPOCHS = 3
-RANGE_ROWS = 50_000  # rows in one range of keys
+RANGE_ROWS = 10_000  # rows in one range of keys, with their texts where those are drawn
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
