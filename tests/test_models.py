@@ -133,3 +133,24 @@ def test_lof_with_many_copies(spark, cloud, monkeypatch):
 def test_fewer_points_than_neighbours(spark, cloud):
     near = lof.neighbours(lof._collapse(frame(spark, cloud[:6]).select(F.array(*NAMES).alias("x"))), 35)
     assert near.count() == 6 * 5
+
+
+def test_trees_draw_from_the_whole_book(spark):
+    """Far beyond 64 samples' worth of rows, a larger book still gives more different rows."""
+    seen = []
+    for n in (20_000, 40_000):
+        rows = spark.range(n).selectExpr("concat('T', id) AS transaction_id", "CAST(id AS DOUBLE) AS f")
+        drawn = isolation.samples(rows, ["f"], n, trees=100, tree_rows=64, seed=1)
+        seen.append(drawn.select("x").distinct().count())
+        per_tree = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+        assert len(per_tree) == 100 and min(per_tree) >= 64
+    assert 64 * 64 < seen[0] < seen[1]
+
+
+def test_too_many_levels_are_refused(spark):
+    from tallyguard.operators.features import observed_levels
+
+    rows = spark.range(50).selectExpr("concat('k', id) AS transaction_type", "'c' AS channel")
+    assert len(observed_levels(rows)["transaction_type"]) == 50
+    with pytest.raises(ValueError):
+        observed_levels(rows, most=49)
