@@ -59,10 +59,12 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
-def _paired(ids: np.ndarray, size: int, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number the distinct pairs (ids, nxt): the numbers, and the pair behind each."""
-    span = size * SYMBOLS
-    key = ids.astype(np.int32 if span < 1 << 31 else np.int64) * SYMBOLS + nxt
+def _paired(
+    ids: np.ndarray, size: int, nxt: np.ndarray, base: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Number the distinct pairs (ids, nxt < base): the numbers, and the pair behind each."""
+    span = size * base
+    key = ids.astype(np.int32 if span < 1 << 31 else np.int64) * base + nxt
     if span > _DENSE:
         pairs, number = np.unique(key, return_inverse=True)
         return number.astype(np.int32), pairs.astype(np.int64)
@@ -86,15 +88,21 @@ def grams_of(joined: bytes, lengths: np.ndarray, order: int) -> tuple[np.ndarray
     inner[ends - 1] = False
     symbol[inner] = np.frombuffer(joined, np.uint8)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    number, codes = _paired(np.zeros(len(symbol), np.int32), 1, symbol)
+    # the symbols that occur, numbered densely, keep the tables of pairs small
+    alphabet = np.union1d(np.flatnonzero(np.bincount(symbol, minlength=SYMBOLS)), [EDGE])
+    dense = np.zeros(SYMBOLS, np.uint16)
+    dense[alphabet] = np.arange(len(alphabet))
+    symbol, edge, base = dense[symbol], dense[EDGE], len(alphabet)
+    number, pairs = _paired(np.zeros(len(symbol), np.int32), 1, symbol, base)
+    codes = alphabet[pairs]
     for back in range(1, order + 1):
-        context = np.full(len(symbol), EDGE, np.uint16)
+        context = np.full(len(symbol), edge, np.uint16)
         context[back:] = symbol[:-back] if len(symbol) > back else context[back:]
         for shift in range(back):  # contexts do not reach into the text before
             at = starts + shift
-            context[at[at < ends]] = EDGE
-        number, pairs = _paired(number, len(codes), context)
-        codes = codes[pairs // SYMBOLS] | (pairs % SYMBOLS << BITS * back)
+            context[at[at < ends]] = edge
+        number, pairs = _paired(number, len(codes), context, base)
+        codes = codes[pairs // base] | (alphabet[pairs % base] << BITS * back)
     return number, codes, ends
 
 
@@ -102,10 +110,10 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(numbers, words, ends): every word of the texts by distinct word."""
     index: dict[bytes, int] = {}
     parts = [
-        np.array([index.setdefault(w, len(index)) for w in text.split()], np.int64) for text in texts
+        np.array([index.setdefault(w, len(index)) for w in text.split()], np.int32) for text in texts
     ]
     ends = np.cumsum([len(p) for p in parts]) if parts else np.array([], np.int64)
-    return np.concatenate(parts) if parts else ends, list(index), ends
+    return np.concatenate(parts) if parts else ends.astype(np.int32), list(index), ends
 
 
 def _gram_shard(codes: np.ndarray, shards: int) -> np.ndarray:
