@@ -39,7 +39,7 @@ from .blocks import (
 )
 
 ORDER = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 SYMBOLS, EDGE, BITS = 257, 256, 9  # bytes, and one symbol for both ends of a text
 _DENSE = 1 << 26  # largest table of pairs; beyond it pairs are sorted
 
