@@ -2,14 +2,18 @@
 
 Below each host the segments of the paths form a tree. Level by level, segments that are
 variable by their form (numbers, dates, hexadecimal ids) become a wildcard, and so do branches
-with too few pages to tell. The other branches of a node are merged where they are alike:
-those with a like share of blocked pages form a group, and a branch stays in its group unless
+with too few labelled pages to tell. The other branches of a node are merged where they are alike:
+those with a like share of blocked pages, among the labelled ones, form a group, and a branch stays in its group unless
 its share differs significantly from that of the group's others (a test of two proportions).
-The purity of a template is its share of pages labelled as blocked, smoothed towards the
-purity of the template above it, the host towards the share of the whole table. Pages that no
-rule speaks about are blocked where their template's purity reaches the threshold.
-
-The labels are the rules' own verdicts, unless a label column is given. Paths are counted per
+The purity of a template is the share of blocked pages among its labelled ones, smoothed towards
+the purity of the template above it, the host towards the share of the whole table. Pages that no
+rule speaks about are blocked where their template's purity reaches the threshold and the
+template itself has labels enough: ``min_pages`` of them, or all its pages where it has fewer.
+A purity that is only inherited blocks nothing.
+
+With a label column, a null is a page without a label: it stays in the tree and is judged, but
+counts neither as blocked nor as clean. Without one the rules label every page: it is blocked
+where a rule blocks it, and clean where a rule allows it or none speaks about it. Paths are counted per
 host and path before anything else, so repeated pages cost nothing; a busy host is many paths.
 Segments below ``depth`` are one wildcard tail. All steps are DataFrame operations.
 
@@ -30,8 +34,8 @@ from ..plans.stage import stage
 DEPTH = 3
 Z = 3.0  # standard errors by which a branch must differ from its group to leave it
 SHARES = (1, 4, 7)  # eighths of blocked pages that part the groups
-MIN_PAGES = 5  # fewer pages never make a branch of their own
-ALPHA = 10.0  # pages that the template above counts for
+MIN_PAGES = 5  # fewer labelled pages never make a branch of their own
+ALPHA = 10.0  # labelled pages that the template above counts for
 THRESHOLD = 0.5
 # Fixed value: forms of segments that vary from page to page.
 VARIABLE = r"^([0-9]+([._-][0-9]+)*|[0-9a-f]{8,}|[0-9a-f-]{32,})(\.[a-z]{1,5})?$"
@@ -84,17 +88,24 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...], what: str)
 def template_purity(
     paths: DataFrame, depth: int = DEPTH, z: float = Z, min_pages: int = MIN_PAGES, alpha: float = ALPHA
 ) -> DataFrame:
-    """``paths(host, path, n, blocked)``, one row per path, with its ``template`` and ``purity``."""
+    """``paths(host, path, pages, n, blocked)``, one row per path, with ``template`` and ``purity``.
+
+    ``n`` of the ``pages`` are labelled, ``blocked`` of those as blocked. ``supported`` tells
+    whether the template has labels of its own to block on.
+    """
     whole = paths.agg(F.sum("blocked").alias("b"), F.sum("n").alias("n")).first()
     prior = (whole["b"] or 0) / whole["n"] if whole["n"] else 0.0
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
 
     def judged(rows: DataFrame, keys: list[str], above: Column) -> DataFrame:
-        node = rows.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("blocked").alias("_b"))
+        node = rows.groupBy(*keys).agg(
+            F.sum("pages").alias("_pages"), F.sum("n").alias("_n"), F.sum("blocked").alias("_b")
+        )
         return (
             rows.join(node, keys)
             .withColumn("purity", (F.col("_b") + alpha * above) / (F.col("_n") + alpha))
-            .drop("_n", "_b")
+            .withColumn("supported", F.col("_n") >= F.least("_pages", F.lit(min_pages)))
+            .drop("_pages", "_n", "_b")
         )
 
     rows = paths.withColumns({"segments": segments, "template": F.lit("")})
@@ -111,7 +122,7 @@ def template_purity(
         group = F.lit(0)
         for eighths in SHARES:
             group = group + (8 * b >= eighths * n).cast("int")
-        literal = branch.filter((F.col("branch") != "*") & (n >= min_pages)).withColumn("group", group)
+        literal = branch.filter((F.col("branch") != "*") & (n >= max(min_pages, 1))).withColumn("group", group)
         alike = literal.groupBy("host", "template", "group").agg(
             F.sum("n").alias("all_n"), F.sum("b").alias("all_b")
         )
@@ -131,12 +142,13 @@ def template_purity(
         )
         ended = F.col("branch").isNull()
         rows = rows.join(kept, ["host", "template", "branch"], "left").select(
-            "host", "path", "n", "blocked", "segments", "purity", longer.alias("template"), ended.alias("ended")
-        )
-        deeper = judged(rows.filter("NOT ended"), ["host", "template"], F.col("purity").cast("double"))
+            "host", "path", "pages", "n", "blocked", "segments", "purity", "supported",
+            longer.alias("template"), ended.alias("ended"),
+        )
+        deeper = judged(rows.filter("NOT ended").drop("supported"), ["host", "template"], F.col("purity").cast("double"))
         rows = deeper.unionByName(rows.filter("ended")).drop("ended")
     tail = F.when(F.size("segments") > depth, F.concat("template", F.lit(LEVELS + "**")))
-    return rows.select("host", "path", F.coalesce(tail, "template").alias("template"), "purity")
+    return rows.select("host", "path", F.coalesce(tail, "template").alias("template"), "purity", "supported")
 
 
 def judge(
@@ -159,17 +171,19 @@ def judge(
     ruled = split.drop(*added).withColumnsRenamed({"_host": "host", "_path": "path"})
     ruled = ruled.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules, "name"))
     ruled = ruled.withColumn("_ruled", longest_rule(F.col("host"), F.col("path"), rules, "verdict"))
-    label = F.col("_label") if blocked else F.col("_ruled") == "block"
-    marked = ruled.withColumn("_block", F.coalesce(label, F.lit(False)).cast("bigint"))
+    label = F.col("_label") if blocked else F.coalesce(F.col("_ruled") == "block", F.lit(False))
+    marked = ruled.withColumn("_block", label.cast("boolean").cast("bigint"))
     paths = marked.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.sum("_block").alias("blocked")
+        F.count("*").alias("pages"),
+        F.count("_block").alias("n"),
+        F.coalesce(F.sum("_block"), F.lit(0)).alias("blocked"),
     )
     purity = stage(template_purity(stage(paths, "urls-paths"), **tree), "urls-purity")
-    verdict = F.coalesce(
-        F.col("_ruled"), F.when(F.col("purity") >= threshold, "block").otherwise("allow")
-    )
+    purity = purity.withColumnRenamed("supported", "_supported")
+    full = F.col("_supported") & (F.col("purity") >= threshold)
+    verdict = F.coalesce(F.col("_ruled"), F.when(full, "block").otherwise("allow"))
     return (
         marked.join(purity, ["host", "path"])
         .withColumn("verdict", verdict)
-        .drop("_label", "_ruled", "_block")
+        .drop("_label", "_ruled", "_block", "_supported")
     )

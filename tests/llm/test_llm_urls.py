@@ -149,3 +149,28 @@ def test_no_python_in_the_plan(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = urls.judge(pages)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pages_without_a_label_are_not_clean(spark):
+    """One page in ten has a label; all labels of /spam/ are bad."""
+    rows = [
+        (f"http://shop.com/{s}/{i}", s == "spam" if i % 10 == 0 else None)
+        for i in range(1000)
+        for s in ("spam", "news", "ok")
+    ]
+    table = spark.createDataFrame(rows, "url string, bad boolean")
+    got = urls.judge(table, rules=(), blocked="bad").groupBy("template", "verdict").count().collect()
+    assert {(r["template"], r["verdict"], r["count"]) for r in got} == {
+        ("/*3/*", "block", 1000),
+        ("/*0/*", "allow", 2000),
+    }
+
+
+def test_inherited_purity_blocks_nothing(spark):
+    """All labels of the host are bad, but they speak about one branch only."""
+    rows = [(f"http://shop.com/spam/{i}", True) for i in range(100)]
+    rows += [(f"http://shop.com/other/{i}", None) for i in range(100)]
+    table = spark.createDataFrame(rows, "url string, bad boolean")
+    for row in urls.judge(table, rules=(), blocked="bad").collect():
+        assert row["verdict"] == ("block" if "/spam/" in row["url"] else "allow")
+        assert row["purity"] > 0.5  # inherited where the template has no labels
