@@ -2,12 +2,15 @@
 
 Words are runs of ASCII letters and digits, lower-cased; shingles are five words. Templates are
 cut into segments of ``SEGMENT`` words, texts into windows of ``WINDOW`` words every ``STRIDE``
-words, so every segment that a text holds lies whole in at least three windows. A window and a
-segment that share the smallest shingle under any of ``BANDS`` hash functions meet (bands of
-one row). With similarity s that happens with probability 1 - (1 - s) ** 64: a segment of eight
-words has s >= 1/3, one of five words s >= 1/12, and three windows miss the latter together
-about once in 10 ** 7 times. Only windows with a shingle of some template can meet one, so only
-those are hashed; that leaves nothing out.
+words, and every shingle of a template that a text holds is a window of its own as well. A window
+and a segment that share the smallest shingle under any of ``BANDS`` hash functions meet (bands
+of one row). A segment that lies whole in a text meets it with certainty, wherever it lies: the
+smallest of its shingles is one of these windows under every hash function. A single shingle of
+an eight-word segment meets it unless it is the smallest under none of the functions, about once
+in 10 ** 8 shingles; that depends on the template only, not on the text around it. Segments
+hold about half of a template's shingles or more, so a text with ``CONTAINMENT`` of them holds
+some of a segment's. Only windows with a shingle of some template can meet one, so only those
+are hashed; that leaves nothing out.
 
 A template that was retrieved is verified on the whole text: at least ``CONTAINMENT`` of its
 distinct shingles must occur. Templates are data, a table of names and texts whose shingles are
@@ -110,14 +113,23 @@ def _windows(shingles: Column, hits: Column) -> Column:
     )
 
 
+def _single(hits: Column) -> Column:
+    """Signatures of the hits as windows of one shingle."""
+    distinct = F.array_distinct(F.transform(hits, lambda hit: hit["h"]))
+    return F.transform(distinct, lambda h: _signature(F.array(h)))
+
+
 def _bands(signatures: Column) -> Column:
     """Distinct (band, value) of an array of signatures."""
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                signatures,
-                lambda s: F.transform(s, lambda v, band: F.struct(band.alias("band"), v.alias("value"))),
-            )
+    return F.array_distinct(_listed(signatures))
+
+
+def _listed(signatures: Column) -> Column:
+    """(band, value) of an array of signatures."""
+    return F.flatten(
+        F.transform(
+            signatures,
+            lambda s: F.transform(s, lambda v, band: F.struct(band.alias("band"), v.alias("value"))),
         )
     )
 
@@ -188,7 +200,9 @@ def _found(shingles: Column, known: list[int]) -> Column:
             hits,
             lambda hs: F.struct(
                 hs.alias("hits"),
-                F.when(F.size(hs) > 0, _bands(_windows(hashes, hs))).otherwise(none).alias("bands"),
+                F.when(
+                    F.size(hs) > 0, F.concat(_bands(_windows(hashes, hs)), _listed(_single(hs)))
+                ).otherwise(none).alias("bands"),
             ),
         )
 

@@ -69,3 +69,13 @@ def test_columns_empty_table_and_plan(odd, empty):
     assert license_scan.scan(empty).count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_no_short_notice_is_lost(spark):
+    """A five-word notice near the start lies in few windows; what surrounds it must not matter."""
+    rng = random.Random(29)
+    words = lambda n: " ".join("".join(rng.choices("aeinorst", k=6)) for _ in range(n))
+    texts = [f"{words(i % 4)} released under the mit license {words(20)}" for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    lost = license_scan.scan(docs).filter("size(licenses) = 0").select("doc_id").collect()
+    assert lost == []
