@@ -15,7 +15,9 @@ With a label column, a null is a page without a label: it stays in the tree and
 counts neither as blocked nor as clean. Without one the rules label every page: it is blocked
 where a rule blocks it, and clean where a rule allows it or none speaks about it. Paths are counted per
 host and path before anything else, so repeated pages cost nothing; a busy host is many paths.
-Segments below ``depth`` are one wildcard tail. All steps are DataFrame operations.
+The first ``depth`` levels are always grown. Below them the tree goes on, to any depth, wherever
+the labels of a template are not all alike; where they are (or where there are none), the rest of
+the path cannot part them and is one wildcard tail. All steps are DataFrame operations.
 
 A null url or one without ``://`` has an empty host and an empty path and is judged like any
 other (its template is the empty host). Rows are kept one to one, repeated or not; columns of
@@ -25,13 +27,14 @@ other (its template is the empty host). Rows are kept one to one, repeated or no
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import stage
 
-DEPTH = 3
+DEPTH = 3  # levels grown in any case; deeper ones where labels are mixed
 Z = 3.0  # standard errors by which a branch must differ from its group to leave it
 SHARES = (1, 4, 7)  # eighths of blocked pages that part the groups
 MIN_PAGES = 5  # fewer labelled pages never make a branch of their own
@@ -105,12 +108,26 @@ def template_purity(
             rows.join(node, keys)
             .withColumn("purity", (F.col("_b") + alpha * above) / (F.col("_n") + alpha))
             .withColumn("supported", F.col("_n") >= F.least("_pages", F.lit(min_pages)))
+            .withColumn("mixed", (F.col("_b") > 0) & (F.col("_b") < F.col("_n")))
             .drop("_pages", "_n", "_b")
         )
 
     rows = paths.withColumns({"segments": segments, "template": F.lit("")})
     rows = judged(rows, ["host"], F.lit(float(prior)))
-    for level in range(depth):
+    done, level = [], 0  # finished rows of the levels below ``depth``
+    while True:
+        if level >= depth:
+            rows = stage(rows, f"urls-below-{level}")
+            further = F.col("mixed") & (F.size("segments") > level)
+            tail = F.when(F.size("segments") > level, F.concat("template", F.lit(LEVELS + "**")))
+            done.append(
+                rows.filter(~further).select(
+                    "host", "path", F.coalesce(tail, "template").alias("template"), "purity", "supported"
+                )
+            )
+            rows = rows.filter(further)
+            if rows.isEmpty():
+                return reduce(DataFrame.unionByName, done)
         segment = F.get("segments", level)
         named = F.when(segment.rlike(VARIABLE), "*").otherwise(segment)
         rows = stage(rows.withColumn("branch", named), f"urls-level-{level}")
@@ -142,13 +159,12 @@ def template_purity(
         )
         ended = F.col("branch").isNull()
         rows = rows.join(kept, ["host", "template", "branch"], "left").select(
-            "host", "path", "pages", "n", "blocked", "segments", "purity", "supported",
+            "host", "path", "pages", "n", "blocked", "segments", "purity", "supported", "mixed",
             longer.alias("template"), ended.alias("ended"),
         )
-        deeper = judged(rows.filter("NOT ended").drop("supported"), ["host", "template"], F.col("purity").cast("double"))
+        deeper = judged(rows.filter("NOT ended").drop("supported", "mixed"), ["host", "template"], F.col("purity").cast("double"))
         rows = deeper.unionByName(rows.filter("ended")).drop("ended")
-    tail = F.when(F.size("segments") > depth, F.concat("template", F.lit(LEVELS + "**")))
-    return rows.select("host", "path", F.coalesce(tail, "template").alias("template"), "purity", "supported")
+        level += 1
 
 
 def judge(

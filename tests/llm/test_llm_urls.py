@@ -174,3 +174,14 @@ def test_inherited_purity_blocks_nothing(spark):
     for row in urls.judge(table, rules=(), blocked="bad").collect():
         assert row["verdict"] == ("block" if "/spam/" in row["url"] else "allow")
         assert row["purity"] > 0.5  # inherited where the template has no labels
+
+
+def test_branches_below_the_fixed_levels(spark):
+    """What parts the pages is the fourth segment, or the sixth."""
+    rows = [(f"http://shop.com/a/b/c/{s}/{i}", s == "spam") for i in range(100) for s in ("spam", "news", "ok")]
+    rows += [(f"http://deep.com/a/b/c/d/e/{s}/x/{i}", s == "spam") for i in range(100) for s in ("spam", "ok")]
+    table = spark.createDataFrame(rows, "url string, bad boolean")
+    got = urls.judge(table, rules=(), blocked="bad").collect()
+    assert len(got) == len(rows)
+    assert all(r["verdict"] == ("block" if r["bad"] else "allow") for r in got)
+    assert {r["template"] for r in got if r["bad"]} == {"/*1/*1/*1/*3/**", "/*2/*2/*2/*2/*2/*3/**"}
