@@ -6,8 +6,9 @@ the ids return to the blocks of documents that hold the word (see ``blocks``). W
 cross a merge, so the ids of a text are those of its words in order. Special tokens that occur
 in a text are cut out first, as the tokenizer does.
 
-Decoding joins ids with the id-to-piece table, which is as large as the vocabulary and no
-larger, and concatenates the pieces' bytes; invalid UTF-8 is replaced.
+Decoding looks ids up in the id-to-piece table, an array as large as the vocabulary and no
+larger that is shipped with the task (no DataFrame join), and concatenates the pieces' bytes;
+invalid UTF-8 is replaced.
 
 The tokenizer is a parameter: the text of its JSON file, read on the driver. Supported are
 byte-level BPE tokenizers without a normalizer, a post-processor or a prefix space; others
