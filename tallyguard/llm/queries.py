@@ -10,7 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, license_scan, mixing, oracles, pii, ppm, quality, secret_scan, simhash, urls
+from . import (
+    bpe,
+    cover_tree,
+    license_scan,
+    mixing,
+    oracles,
+    pii,
+    ppm,
+    quality,
+    secret_scan,
+    simhash,
+    token_counts,
+    urls,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -180,3 +193,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(documents(spark, sf_dir), tokenizer_json())
+    over = (F.col("n_tokens") > 1024).alias("over_limit")
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", over)
