@@ -1,6 +1,6 @@
 """Reusable plan shapes: staged tables, hot-key splits, running totals, global ranks."""
 
-from .ladder import attach_by_value, ladder, numbered
+from .ladder import attach_by_value, ladder, numbered, totals_before
 from .running import paired, running
 from .skew import HotKeys, find_hot
 from .stage import clear, stage, together
@@ -16,4 +16,5 @@ __all__ = [
     "running",
     "stage",
     "together",
+    "totals_before",
 ]

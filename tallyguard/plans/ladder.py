@@ -17,8 +17,8 @@ _RANGE = "_range"
 RANGE_ROWS = 500_000  # rows that one task ranks
 
 
-def _ranged(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
-    """Rows in global order with ``<sum>_before`` (exclusive) per summed column.
+def totals_before(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """All rows with ``<sum>_before`` per summed column: its total over the rows before, in ``order``.
 
     The number of ranges follows the number of rows, so that no range grows with the table.
     """
@@ -69,13 +69,13 @@ def ladder(
         )
     )
     order = [F.desc(value) if descending else F.asc(value)]
-    return _ranged(steps, order, ["n", *measures], f"ladder-{value}")
+    return totals_before(steps, order, ["n", *measures], f"ladder-{value}")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Number all rows from 1 in a global order."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    out = _ranged(one, order, ["_one"], f"numbered-{name}")
+    out = totals_before(one, order, ["_one"], f"numbered-{name}")
     return out.select(*df.columns, (F.col("_one_before") + 1).alias(name))
 
 
