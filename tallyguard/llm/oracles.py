@@ -175,3 +175,46 @@ SELECT page_id, m.host, m.path, rule,
 FROM marked m JOIN tree3 t ON t.host = m.host AND t.path = m.path
 """
 )
+
+# the unsigned CRC-32 of an ASCII text, bit by bit
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+  string_split({text}, ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i) & 1)))),
+  lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))))"""
+
+PREFIX_TRIE = f"""
+WITH ordered AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format(text="CAST(conv_id AS VARCHAR)")} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)),
+rebuilt AS (
+  SELECT c.conv_id, o.pos, o.said FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.pos + 9, o.said FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.pos > c.h),
+listed AS (
+  SELECT c.conv_id, coalesce(list(r.said ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS turns
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY 1),
+prefixes AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS path, len(turns) = d AS ends
+  FROM listed, unnest(range(0, len(turns) + 1)) AS u(d)),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(strlen(path[depth].text), 0) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, path),
+families AS (
+  SELECT p.depth, p.conv_id, count(*) AS n_children
+  FROM nodes p JOIN nodes c ON c.depth = p.depth + 1 AND c.path[1:p.depth] = p.path GROUP BY ALL),
+below AS (
+  SELECT x.depth, x.conv_id, count(*) FILTER (f.n_children IS NULL) AS n_leaves,
+         sum((y.n_convs - 1) * y.bytes) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM nodes) y
+  JOIN nodes x ON x.depth = y.above AND x.path = y.path[1:y.above]
+  LEFT JOIN families f ON f.depth = y.depth AND f.conv_id = y.conv_id GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(f.n_children, 0) AS n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (depth, conv_id) LEFT JOIN families f USING (depth, conv_id)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stage import stage
 from . import (
     bpe,
     cover_tree,
@@ -18,6 +19,7 @@ from . import (
     oracles,
     pii,
     ppm,
+    prefix_trie,
     quality,
     secret_scan,
     simhash,
@@ -200,3 +202,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(documents(spark, sf_dir), tokenizer_json())
     over = (F.col("n_tokens") > 1024).alias("over_limit")
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", over)
+
+
+@query("op13_prefix_trie", oracles.PREFIX_TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = stage(prefix_trie.numbered_turns(conversations), "turns")
+    rebuilt, members = prefix_trie.with_family_heads(turns)
+    return prefix_trie.trie(stage(rebuilt, "turns-rebuilt"), members).select(
+        F.col("owner").alias("conv_id"),
+        "depth",
+        F.col("parent").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        F.col("ends").alias("ends_sha256"),
+    )
