@@ -176,6 +176,43 @@ FROM marked m JOIN tree3 t ON t.host = m.host AND t.path = m.path
 """
 )
 
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM worded
+  UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+  UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM worded),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10),
+halves AS (
+  SELECT lang, phrase, f, 1 AS k, w[1] AS first, array_to_string(w[2:size], ' ') AS rest FROM candidates
+  UNION ALL
+  SELECT lang, phrase, f, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE size = 3),
+cuts AS (
+  SELECT h.lang, h.phrase, h.f AS a, h.k, l.f AS l, r.f AS r,
+         (1000000::HUGEINT * h.f * h.f) // (l.f::HUGEINT * r.f) AS score
+  FROM halves h JOIN counts l ON l.lang = h.lang AND l.phrase = h.first
+  JOIN counts r ON r.lang = h.lang AND r.phrase = h.rest),
+lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+covered AS (
+  SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, f FROM candidates WHERE size = 3),
+kept AS (
+  SELECT * FROM lowest x WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM covered c WHERE c.lang = x.lang AND c.phrase = x.phrase AND 100 * c.f >= 50 * x.a)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 # the unsigned CRC-32 of an ASCII text, bit by bit
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
   string_split({text}, ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i) & 1)))),

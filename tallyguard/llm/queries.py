@@ -17,6 +17,7 @@ from . import (
     license_scan,
     mixing,
     oracles,
+    phrases,
     pii,
     ppm,
     prefix_trie,
@@ -204,6 +205,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", over)
 
 
+@query("op12_phrases", oracles.PHRASES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(documents(spark, sf_dir))
+    return found.select(F.col("grp").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 @query("op13_prefix_trie", oracles.PREFIX_TRIE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
