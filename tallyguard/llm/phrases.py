@@ -4,8 +4,10 @@ Texts are lower-cased and laid out in blocks: the words of one group (language)
 joined by single spaces, a line for each piece. In a block, prefix polynomials over its bytes give
 the fingerprint of every n-gram as a difference of two prefixes, all n-grams at once in numpy. A
 shuffle adds up the fingerprints of all blocks; each comes with a pointer to an occurrence (block
-and place). Lengths go up one by one: an n-gram is fingerprinted only where both n-grams of one
-word less in it are frequent, which loses none, as a phrase is never more frequent than its parts.
+and place). Words and pairs come first, then one length after the other: an n-gram is fingerprinted only
+where both n-grams of one word less in it are frequent, which loses none, as a phrase is never more
+frequent than its parts. (Pairs of frequent words alone would be a fifth fewer, less than it costs
+to bring marks and text together once more.)
 
 Fingerprints only select: equal phrases have equal ones, so no frequent phrase is missed. Then
 every block compares the occurrences of a selected fingerprint with the text at its pointer, byte
@@ -37,8 +39,8 @@ from ..plans.stage import stage
 
 NO_GROUP = "und"
 BLOCK_BYTES = 8 << 20
-SEGMENT = 1 << 20  # bytes whose prefix polynomial is held at once
-AT_ONCE = 1 << 18  # phrases that are compared or materialised at once
+SEGMENT = 1 << 18  # bytes whose prefix polynomial is held at once
+AT_ONCE = 1 << 16  # phrases that are compared or materialised at once
 TOP_ROWS = 1_000_000  # rows among which one task finds the first ones
 
 # Fixed values of the definition: characters that end a piece, and characters that end a word.
@@ -50,8 +52,18 @@ _PLAIN = bytes.maketrans(
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-_OCCURRENCES = "fp bigint, block bigint, at bigint, n bigint"
-_TEXTS = "grp string, words int, phrase string, n bigint"
+# an occurrence has a fingerprint and a pointer (block, at), a text its group and phrase
+_FIELDS = [
+    ("words", pa.int32()),
+    ("n", pa.int64()),
+    ("fp", pa.int64()),
+    ("block", pa.int64()),
+    ("at", pa.int64()),
+    ("grp", pa.string()),
+    ("phrase", pa.string()),
+]
+_SCHEMA = pa.schema(_FIELDS)
+_ROWS = "words int, n bigint, fp bigint, block bigint, at bigint, grp string, phrase string"
 
 
 def normalised(raw: bytes) -> bytes:
@@ -181,79 +193,83 @@ def blocks(
     return stage(laid.filter("words > 0"), "phrase-blocks")
 
 
-def _summed(fps: np.ndarray, at: np.ndarray, block: int) -> pa.Table:
-    """Distinct fingerprints of a block with their counts and their first places."""
-    distinct, first, n = np.unique(fps, return_index=True, return_counts=True)
-    return pa.table({"fp": distinct, "block": np.full(len(distinct), block), "at": at[first], "n": n})
+def _rows(size: int, **columns) -> pa.Table:
+    """Rows of the common schema, in small batches; columns that are not given are null."""
+    given = [pa.array(columns[f], t) if f in columns else pa.nulls(size, t) for f, t in _FIELDS]
+    return pa.Table.from_batches(pa.table(given, schema=_SCHEMA).to_batches(AT_ONCE), _SCHEMA)
 
 
-def _single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(block: Block, at: np.ndarray, words: int, name: int) -> pa.Table:
+    """Distinct fingerprints of the n-grams at ``at`` with their counts and their first places."""
+    distinct, first, n = np.unique(block.fingerprints(at, words), return_index=True, return_counts=True)
+    same = lambda value: np.full(len(distinct), value)
+    return _rows(len(distinct), words=same(words), n=n, fp=distinct, block=same(name), at=at[first])
+
+
+def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row["grp"], row["body"])
-            at = np.flatnonzero(block.places(1))
-            yield from _summed(block.fingerprints(at, 1), at, row["block"]).to_batches()
+            for words in (1, 2):
+                yield from _summed(block, np.flatnonzero(block.places(words)), words, row["block"]).to_batches()
 
 
-def _opened(bodies: pa.Table) -> Block | None:
-    if bodies.num_rows == 0:
-        return None
-    return Block(bodies.column("grp")[0].as_py(), bodies.column("body")[0].as_py())
+def _longer(block: Block, name: int, known: np.ndarray, words: int) -> pa.Table:
+    """n-grams of a block both of whose parts of one word less are among ``known`` fingerprints."""
+    shorter = np.flatnonzero(block.places(words - 1))
+    marked = np.zeros(len(block.ends), bool)
+    marked[shorter] = np.isin(block.fingerprints(shorter, words - 1), known)
+    ok = block.places(words)
+    ok &= marked
+    ok[:-1] &= marked[1:]
+    return _summed(block, np.flatnonzero(ok), words, name)
 
 
-def _longer(n: int):
-    """n-grams of a block both of whose parts of one word less are marked."""
+def _marked(longest: int, more: bool):
+    """For a block and its marked fingerprints, of up to ``longest`` words: the phrases they stand
+    for as texts and, if there are ``more`` to come, the fingerprints of n-grams of one word more."""
 
     def work(key: tuple, bodies: pa.Table, marks: pa.Table) -> pa.Table:
-        block = _opened(bodies)
-        if block is None:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("fp", "block", "at", "n")})
-        shorter = np.flatnonzero(block.places(n - 1))
-        marked = np.zeros(len(block.ends), bool)
-        marked[shorter] = np.isin(block.fingerprints(shorter, n - 1), marks.column("fp").to_numpy())
-        ok = block.places(n)
-        ok &= marked
-        ok[:-1] &= marked[1:]
-        at = np.flatnonzero(ok)
-        return _summed(block.fingerprints(at, n), at, key[0].as_py())
+        if bodies.num_rows == 0 or marks.num_rows == 0:
+            return _SCHEMA.empty_table()
+        block = Block(bodies.column("grp")[0].as_py(), bodies.column("body")[0].as_py())
+        lengths = marks.column("words").to_numpy()
+        fps, pointers = marks.column("fp").to_numpy(), marks.column("at").to_numpy()
+        parts = []
+        for words in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == words)
+            own = own[np.argsort(fps[own])]
+            parts += _materialised(block, words, fps[own], pointers[own])
+        if more:
+            parts.append(_longer(block, key[0].as_py(), fps[lengths == longest], longest + 1))
+        return pa.concat_tables(parts)
 
     return work
 
 
-def _materialised(bodies: pa.Table, marks: pa.Table) -> pa.Table:
-    """The marked phrases of a block as texts, their occurrences verified byte by byte."""
-    block = _opened(bodies)
-    parts = [pa.table({"grp": [], "words": [], "phrase": [], "n": []}, schema=_SCHEMA)]
-    lengths = marks.column("words").to_numpy()
-    for words in np.unique(lengths).tolist() if block is not None else []:
-        own = np.flatnonzero(lengths == words)
-        fps, pointers = marks.column("fp").to_numpy()[own], marks.column("at").to_numpy()[own]
-        order = np.argsort(fps)
-        fps, pointers = fps[order], pointers[order]
-        at = np.flatnonzero(block.places(words))
-        found = block.fingerprints(at, words)
-        slot = np.minimum(np.searchsorted(fps, found), len(fps) - 1)
-        hit = fps[slot] == found
-        at, slot = at[hit], slot[hit]
-        same = np.ones(len(at), bool)
-        for first in range(0, len(at), AT_ONCE):
-            some = slice(first, first + AT_ONCE)
-            same[some] = _equal(block, at[some], pointers[slot[some]], words)
-        counts = np.bincount(slot[same], minlength=len(fps))
-        for first in range(0, len(fps), AT_ONCE):
-            some = slice(first, first + AT_ONCE)
-            parts.append(_texts(block, pointers[some], words, counts[some]))
-        others: dict[bytes, int] = {}
-        for place in at[~same].tolist():  # other phrases of the same fingerprint
-            raw = block.raw[block.starts[place] : block.ends[place + words - 1]].tobytes()
-            others[raw] = others.get(raw, 0) + 1
-        for raw, n in others.items():
-            row = {"grp": block.group, "words": words, "phrase": raw.decode(), "n": n}
-            parts.append(pa.Table.from_pylist([row], _SCHEMA))
-    return pa.concat_tables(parts)
-
-
-_SCHEMA = pa.schema([("grp", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+def _materialised(block: Block, words: int, fps: np.ndarray, pointers: np.ndarray) -> list[pa.Table]:
+    """The phrases of the (sorted) fingerprints, their occurrences verified byte by byte."""
+    at = np.flatnonzero(block.places(words))
+    found = block.fingerprints(at, words)
+    slot = np.minimum(np.searchsorted(fps, found), len(fps) - 1)
+    hit = fps[slot] == found
+    at, slot = at[hit], slot[hit]
+    same = np.ones(len(at), bool)
+    for first in range(0, len(at), AT_ONCE):
+        some = slice(first, first + AT_ONCE)
+        same[some] = _equal(block, at[some], pointers[slot[some]], words)
+    counts = np.bincount(slot[same], minlength=len(fps))
+    parts = []
+    for first in range(0, len(fps), AT_ONCE):
+        some = slice(first, first + AT_ONCE)
+        parts.append(_texts(block, pointers[some], words, counts[some]))
+    others: dict[bytes, int] = {}
+    for place in at[~same].tolist():  # other phrases of the same fingerprint
+        raw = block.raw[block.starts[place] : block.ends[place + words - 1]].tobytes()
+        others[raw] = others.get(raw, 0) + 1
+    for raw, n in others.items():
+        parts.append(_rows(1, words=[words], n=[n], grp=[block.group], phrase=[raw.decode()]))
+    return parts
 
 
 def _equal(block: Block, a: np.ndarray, b: np.ndarray, words: int) -> np.ndarray:
@@ -273,28 +289,26 @@ def _texts(block: Block, at: np.ndarray, words: int, counts: np.ndarray) -> pa.T
     data, lengths = block.bytes_of(at, words)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     phrase = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
-    rows = len(at)
-    return pa.table(
-        [pa.array([block.group] * rows, pa.string()), np.full(rows, words, np.int32), phrase, counts.astype(np.int64)],
-        schema=_SCHEMA,
-    )
+    size = len(at)
+    return _rows(size, words=np.full(size, words), n=counts, grp=pa.repeat(block.group, size), phrase=phrase)
 
 
-def _frequent(occurrences: DataFrame, words: int, least: int) -> DataFrame:
+def _frequent(found: DataFrame, least: int) -> DataFrame:
     """(block, words, fp, at) of every fingerprint that all blocks together hold ``least`` times."""
+    occurrences = found.filter("fp IS NOT NULL").select("fp", "block", "words", "at", "n")
     total = F.sum("n").over(Window.partitionBy("fp"))
     marked = occurrences.withColumn("total", total).filter(F.col("total") >= least)
-    return stage(marked.select("block", F.lit(words).alias("words"), "fp", "at"), f"phrase-marks-{words}")
+    return stage(marked.select("block", "words", "fp", "at"), "phrase-marks")
 
 
 @contextlib.contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Let Spark delete a job's shuffle files when the job is over; what it wrote stays."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    if before is None:  # a version without this setting
+    if not spark.conf.isModifiable(name):  # a version without this setting
         yield
         return
+    before = spark.conf.get(name)
     spark.conf.set(name, "true")
     try:
         yield
@@ -303,17 +317,21 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def frequencies(laid: DataFrame, max_words: int = 3, least: int = 10) -> DataFrame:
-    """(grp, words, phrase, n): exact counts of all phrases of up to ``max_words`` words that occur
-    ``least`` times or more in their group. ``laid`` are the rows of :func:`blocks`."""
+    """(grp, words, phrase, n): exact counts of all phrases of up to ``max_words`` (at least two) words
+    that occur ``least`` times or more in their group. ``laid`` are the rows of :func:`blocks`."""
     bodies = laid.select("block", "grp", "body")
     with _shuffles_removed(laid.sparkSession):
-        marks = [_frequent(bodies.mapInArrow(_single_words, _OCCURRENCES), 1, least)]
+        found = bodies.mapInArrow(_words_and_pairs, _ROWS)
+        texts = []
         for words in range(2, max_words + 1):
-            both = bodies.groupBy("block").cogroup(marks[-1].groupBy("block"))
-            marks.append(_frequent(both.applyInArrow(_longer(words), _OCCURRENCES), words, least))
-        every = functools.reduce(DataFrame.unionByName, marks)
-        texts = bodies.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_materialised, _TEXTS)
-        counted = texts.groupBy("grp", "words", "phrase").agg(F.sum("n").alias("n"))
+            marks = _frequent(found, least)
+            both = bodies.groupBy("block").cogroup(marks.groupBy("block"))
+            found = both.applyInArrow(_marked(words, words < max_words), _ROWS)
+            # the last length has nothing after it that would read it again
+            found = stage(found, "phrase-found") if words < max_words else found
+            texts.append(found.filter("phrase IS NOT NULL").select("grp", "words", "phrase", "n"))
+        every = functools.reduce(DataFrame.unionByName, texts)
+        counted = every.groupBy("grp", "words", "phrase").agg(F.sum("n").alias("n"))
         return stage(counted.filter(F.col("n") >= least), "phrase-counts")
 
 
@@ -324,12 +342,18 @@ def _part(words: Column, first: Column, n: Column) -> Column:
 def scored(counts: DataFrame, cover_percent: int = 50) -> DataFrame:
     """(grp, phrase, words, a, l, r, score) of the phrases of two words or more in ``counts`` that no
     longer one covers: one that contains it and is at least ``cover_percent`` as frequent."""
-    several = counts.filter("words > 1")
-    listed = several.withColumn("w", F.split("phrase", " "))
-    cuts = listed.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select(
+    listed = counts.filter("words > 1").withColumn("w", F.split("phrase", " "))
+    inner = listed.filter("words > 2").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("words") - 1)))
+    inner = inner.withColumn("from", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
+    covers = (
+        inner.select("grp", _part(F.col("w"), F.col("from"), F.col("size")).alias("phrase"), "n")
+        .groupBy("grp", "phrase")
+        .agg(F.max("n").alias("longer"))
+    )
+    covered = F.coalesce(100 * F.col("longer") >= cover_percent * F.col("n"), F.lit(False))
+    free = listed.join(covers, ["grp", "phrase"], "left").filter(~covered)
+    cuts = free.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).select(
         "grp",
-        "phrase",
         "words",
         F.col("n").alias("a"),
         "k",
@@ -343,19 +367,11 @@ def scored(counts: DataFrame, cover_percent: int = 50) -> DataFrame:
     weighed = weighed.withColumns(
         {"above": above.cast("decimal(38,0)"), "below": (exact("l") * exact("r")).cast("decimal(38,0)")}
     ).withColumn("score", F.expr("above div below"))
-    lowest = weighed.groupBy("grp", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-
-    inner = listed.filter("words > 2").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("words") - 1)))
-    inner = inner.withColumn("from", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
-    covers = (
-        inner.select("grp", _part(F.col("w"), F.col("from"), F.col("size")).alias("phrase"), "n")
-        .groupBy("grp", "phrase")
-        .agg(F.max("n").alias("longer"))
-    )
-    free = F.col("longer").isNull() | (100 * F.col("longer") < cover_percent * F.col("a"))
+    phrase = F.concat_ws(" ", "left", "right").alias("phrase")
+    lowest = F.min(F.struct("score", "k", "l", "r")).alias("cut")
     return (
-        lowest.join(covers, ["grp", "phrase"], "left")
-        .filter(free)
+        weighed.groupBy("grp", phrase, "words", "a")
+        .agg(lowest)
         .select("grp", "phrase", "words", "a", "cut.l", "cut.r", "cut.score")
     )
 

@@ -91,10 +91,9 @@ def test_colliding_fingerprints(monkeypatch):
     block = phrases.Block("en", body)
     for n in (1, 2, 3):
         at = np.flatnonzero(block.places(n))
-        marks = phrases._summed(block.fingerprints(at, n), at, 0)
-        marks = marks.append_column("words", pa.array([n] * marks.num_rows, pa.int32()))
+        marks = phrases._summed(block, at, n, 0)
         bodies = pa.table({"grp": ["en"], "body": pa.array([body], pa.binary())})
-        rows = phrases._materialised(bodies, marks).to_pylist()
+        rows = phrases._marked(n, False)((pa.scalar(0),), bodies, marks).to_pylist()
         want = Counter()
         for piece in worded(raw.decode()):
             want.update(" ".join(piece[i : i + n]) for i in range(len(piece) - n + 1))
