@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import network
 from ..operators.evaluation import with_labels
+from ..plans import stage
 from ..sources import testbook
 from .inputs import book
 from .registry import query
@@ -71,7 +72,8 @@ inside AS (
 def network_summary(spark, sf_dir):
     payments = book(spark, sf_dir)
     known = with_labels(payments, testbook.labels(spark, sf_dir))
-    return network.summary(known, network.funnel_accounts(payments), network.chains(payments))
+    paired = stage(network.with_partners(known), "partners")
+    return network.summary(paired, network.funnel_accounts(payments))
 
 
 @query("chain_hops", with_tables(f"{BOOK}, {_HOPS}", "SELECT * FROM hops"))
@@ -114,4 +116,23 @@ FROM labelled WHERE transaction_id IN (SELECT hop_in FROM hops UNION SELECT hop_
 def chain_cases(spark, sf_dir):
     payments = book(spark, sf_dir)
     known = with_labels(payments, testbook.labels(spark, sf_dir))
-    return network.chain_cases(known, network.chains(payments))
+    return network.chain_cases(network.with_partners(known))
+
+
+@query(
+    "chain_partners",
+    with_tables(
+        f"{BOOK}, {_HOPS}",
+        """SELECT b.transaction_id, coalesce(o.n, 0) AS passed_on, o.hop AS next_hop,
+  coalesce(i.n, 0) AS fed_by, i.hop AS previous_hop, (o.n IS NOT NULL OR i.n IS NOT NULL) AS in_chain
+FROM book b
+LEFT JOIN (SELECT hop_in, count(*) AS n, arg_min(hop_out, (p.us, hop_out)) AS hop
+  FROM hops JOIN book p ON p.transaction_id = hop_out GROUP BY 1) o ON o.hop_in = b.transaction_id
+LEFT JOIN (SELECT hop_out, count(*) AS n, arg_min(hop_in, (-p.us, hop_in)) AS hop
+  FROM hops JOIN book p ON p.transaction_id = hop_in GROUP BY 1) i ON i.hop_out = b.transaction_id""",
+    ),
+)
+def chain_partners(spark, sf_dir):
+    return network.with_partners(book(spark, sf_dir)).select(
+        "transaction_id", "passed_on", "next_hop", "fed_by", "previous_hop", "in_chain"
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numbers import cents, in_band, ratio
+from ..plans import count_in_ranges, together
 from .evaluation import LABEL
 from .rules import with_clock
 
@@ -54,24 +55,15 @@ def funnel_accounts(
     )
 
 
-def ordered_funnels(accounts: DataFrame) -> DataFrame:
-    return accounts.orderBy(
-        F.desc("is_funnel"),
-        F.desc("near_threshold_senders"),
-        F.desc("near_threshold_total"),
-        "receiver_account",
-    )
-
-
 def chains(
     book: DataFrame,
     min_amount: float = C.PASS_MIN_AMOUNT,
     window_hours: float = C.CHAIN_HOURS,
     tolerance: str = C.CHAIN_TOLERANCE,
 ) -> DataFrame:
-    """Payments passed on soon and for a similar amount.
+    """Payments passed on soon and for a similar amount, one row per pair.
 
-    The join key holds the account, a time slot and an amount slot; an incoming payment
+    :func:`with_partners` answers most questions without the pairs. The join key holds the account, a time slot and an amount slot; an incoming payment
     looks into the at most four slots its partners can be in. Candidate pairs then stay
     within a small factor of the pairs that qualify, also for an account with a large
     part of all payments.
@@ -136,29 +128,80 @@ def chains(
     )
 
 
-def chain_transactions(hops: DataFrame) -> DataFrame:
-    """Ids of the payments that occur in any hop."""
-    return (
-        hops.select(F.explode(F.array("hop_in", "hop_out")).alias("transaction_id")).distinct()
-    )
-
+def with_partners(
+    book: DataFrame,
+    min_amount: float = C.PASS_MIN_AMOUNT,
+    window_hours: float = C.CHAIN_HOURS,
+    tolerance: str = C.CHAIN_TOLERANCE,
+) -> DataFrame:
+    """The book, each payment with its partners in two-hop chains; no pair is listed.
 
-def chain_cases(labelled: DataFrame, hops: DataFrame) -> DataFrame:
-    """Hops, payments in them and known cases among those."""
-    inside = labelled.join(chain_transactions(hops), "transaction_id", "left_semi")
-    count = F.count(F.lit(1))
-    return inside.agg(
-        count.alias("chain_transactions"),
-        F.coalesce(F.sum(LABEL), F.lit(0)).cast("bigint").alias("known_cases_in_chains"),
-    ).withColumn("chain_hops_found", hops.agg(count.alias("n")).scalar())
+    ``passed_on`` payments leave its receiver soon after and for a similar amount, the earliest is
+    ``next_hop``; ``fed_by`` payments reached its sender shortly before, the latest is
+    ``previous_hop`` (ties to the smallest id). ``in_chain`` says whether there are any. Summed over
+    the book, either number is that of the rows of :func:`chains`.
+    """
+    width = round(window_hours * C.HOUR)
+    top, bottom = Decimal(tolerance).as_integer_ratio()
+    rows = with_clock(book).withColumn("_cents", cents(F.col("amount")))
+    big = rows.filter(F.col("amount") >= min_amount)
+
+    up, down = bottom + top, bottom - top
+    least = lambda a, b: F.expr(f"(_cents * {a} + {b} - 1) DIV {b}")
+    most = lambda a, b: F.expr(f"(_cents * {a}) DIV {b}")
+    # backwards in time, the last one is the first
+    onward = ("receiver_account", "sender_account", F.col("us"), least(down, bottom), most(up, bottom))
+    inward = ("sender_account", "receiver_account", -F.col("us"), least(bottom, up), most(bottom, down))
+
+    def partners(asking: str, other: str, clock, lo, hi) -> DataFrame:
+        asked = big.select(F.col(asking).alias("key"), clock.alias("us"), lo.alias("lo"), hi.alias("hi"))
+        points = big.select(
+            F.col(other).alias("key"),
+            clock.alias("us"),
+            F.col("_cents").alias("value"),
+            F.col("transaction_id").alias("id"),
+        )
+        return count_in_ranges(asked, points, width)
+
+    def attach(out: DataFrame, how: tuple, found: DataFrame, n: str, hop: str) -> DataFrame:
+        account, _, clock, lo, hi = how
+        own = out.withColumns({"_us": clock, "_lo": lo, "_hi": hi})
+        met = found.select(
+            F.col("key").alias("_key"),
+            F.col("us").alias("_at"),
+            F.col("lo").alias("_low"),
+            F.col("hi").alias("_high"),
+            F.col("met").alias(n),
+            F.col("first.id").alias(hop),
+        )
+        on = (F.col(account) == F.col("_key")) & (F.col("_us") == F.col("_at")) & (F.col("amount") >= min_amount)
+        on &= (F.col("_lo") == F.col("_low")) & (F.col("_hi") == F.col("_high"))
+        joined = own.join(met, on, "left").drop("_key", "_at", "_low", "_high", "_us", "_lo", "_hi")
+        return joined.withColumn(n, F.coalesce(n, F.lit(0).cast("bigint")))
+
+    later, earlier = together(lambda: partners(*onward), lambda: partners(*inward))
+    out = attach(rows, onward, later, "passed_on", "next_hop")
+    out = attach(out, inward, earlier, "fed_by", "previous_hop")
+    return out.drop("_cents").withColumn("in_chain", (F.col("passed_on") > 0) | (F.col("fed_by") > 0))
+
+
+def chain_cases(partnered: DataFrame) -> DataFrame:
+    """Hops, payments in them and known cases among those, of a labelled book with partners."""
+    return partnered.agg(
+        F.coalesce(F.sum("passed_on"), F.lit(0)).alias("chain_hops_found"),
+        F.count_if("in_chain").alias("chain_transactions"),
+        F.coalesce(F.sum(F.when(F.col("in_chain"), F.col(LABEL))), F.lit(0))
+        .cast("bigint")
+        .alias("known_cases_in_chains"),
+    )
 
 
-def summary(labelled: DataFrame, accounts: DataFrame, hops: DataFrame) -> DataFrame:
+def summary(partnered: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row: funnels, chains and the transaction alerts that cover the same ground."""
-    alerts = labelled.agg(F.coalesce(F.sum(LABEL), F.lit(0)).cast("bigint").alias("n"))
-    inside = chain_cases(labelled, hops).select(F.struct("*").alias("c"))
+    alerts = partnered.agg(F.coalesce(F.sum(LABEL), F.lit(0)).cast("bigint").alias("n"))
+    inside = chain_cases(partnered).select(F.struct("*").alias("c"))
     return (
-        funnel_recall(labelled, accounts)
+        funnel_recall(partnered, accounts)
         .withColumn("c", inside.scalar())
         .select("*", "c.*", alerts.scalar().alias("transaction_alerts_for_the_same_ground"))
         .drop("c")

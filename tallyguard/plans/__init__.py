@@ -1,6 +1,7 @@
 """Reusable plan shapes: staged tables, hot-key splits, running totals, global ranks."""
 
 from .ladder import attach_by_value, ladder, numbered, totals_before
+from .rectangles import count_in_ranges
 from .running import paired, running
 from .skew import HotKeys, find_hot
 from .stage import clear, stage, together
@@ -9,6 +10,7 @@ __all__ = [
     "HotKeys",
     "attach_by_value",
     "clear",
+    "count_in_ranges",
     "find_hot",
     "ladder",
     "numbered",

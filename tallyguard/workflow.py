@@ -124,12 +124,13 @@ def detect(
     """Rules, model, combination, metrics, case list, payload and account graph."""
     book = rules.with_clock(rules.with_row_key(book))
     hot = find_hot(book)
-    (scores, model, levels), flagged, hops, accounts = together(
+    (scores, model, levels), flagged, hops, partnered, accounts = together(
         lambda: score(book, customers, hot, **forest_options),
         lambda: stage(
             evaluation.with_labels(rules.apply_all(book, params, hot), label_file), "flagged"
         ),
         lambda: stage(network.chains(book), "hops"),
+        lambda: stage(evaluation.with_labels(network.with_partners(book), label_file), "partners"),
         lambda: stage(network.funnel_accounts(book), "funnels"),
     )
     scored = stage(evaluation.with_scores(flagged, scores), "scored")
@@ -160,7 +161,7 @@ def detect(
         "payload": evidence.case_payload(queue, book, hot=hot, **band),
         "funnels": accounts.filter("is_funnel"),
         "chains": hops,
-        "network_summary": network.summary(flagged, accounts, hops),
+        "network_summary": network.summary(partnered, accounts),
         "transactions_scored": decided.drop(rules.ROW),
     }
     report = [k for k in REPORT if k in tables]
