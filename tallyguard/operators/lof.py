@@ -15,7 +15,7 @@ the true ones can be, and the point then visits only cells that could hold a clo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,9 +239,16 @@ def outlier_factors(near: DataFrame) -> DataFrame:
 
 
 def local_outlier_factor(
-    rows: DataFrame, columns: list[str] | str, k: int = C.NEIGHBOURS
+    rows: DataFrame,
+    columns: list[str] | str,
+    k: int = C.NEIGHBOURS,
+    search: Callable[[DataFrame, int], DataFrame] = neighbours,
 ) -> DataFrame:
-    """Add ``lof`` to rows; ``columns`` are numeric columns or the name of a vector column."""
+    """Add ``lof`` to rows; ``columns`` are numeric columns or the name of a vector column.
+
+    ``search`` finds the neighbours: :func:`neighbours` exactly,
+    ``projection.projected_neighbours`` in bounded cells at any number of rows.
+    """
     x = (
         F.col(columns).cast("array<float>")
         if isinstance(columns, str)
@@ -249,7 +256,7 @@ def local_outlier_factor(
     )
     placed = rows.withColumn("_x", x)
     points = stage(_collapse(placed.select(F.col("_x").alias("x"))), "points")
-    factors = outlier_factors(neighbours(points, k))
+    factors = outlier_factors(search(points, k))
     # vectors shared by many rows do not skew the join back
     by_vector = points.join(factors, "point").select(
         F.col("x").alias("_x"), "lof", F.col("copies").alias("n")

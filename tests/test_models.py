@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyguard.operators import isolation, lof
+from tallyguard.operators import detectors, isolation, lof, projection
 from tallyguard.operators.isolation import expected_path, grow, path_lengths
 
 NAMES = [f"f{i}" for i in range(4)]
@@ -154,3 +154,89 @@ def test_too_many_levels_are_refused(spark):
     assert len(observed_levels(rows)["transaction_type"]) == 50
     with pytest.raises(ValueError):
         observed_levels(rows, most=49)
+
+
+def clusters(n, dims=12, seed=5):
+    """Points around a few centres of different spread."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(15, dims)) * 4
+    of = rng.integers(0, 15, n)
+    return centre[of] + rng.normal(size=(n, dims)) * rng.uniform(0.2, 1.5, 15)[of][:, None]
+
+
+def as_points(spark, x, copies=None):
+    copies = np.ones(len(x), int) if copies is None else copies
+    rows = [(i, [float(v) for v in row], int(c)) for i, (row, c) in enumerate(zip(x, copies))]
+    return spark.createDataFrame(rows, "point bigint, x array<float>, copies bigint")
+
+
+def found_by(near):
+    out = {}
+    for row in near.collect():
+        out.setdefault(row["q"], []).append((row["o"], row["dist"], row["weight"]))
+    return out
+
+
+def test_projected_neighbours_reach_most_and_bound_their_cells(spark, monkeypatch):
+    x = clusters(6000)
+    points = as_points(spark, x)
+    near = projection.projected_neighbours(points, 12, tables=8, leaf=200)
+    got = found_by(near)
+    assert len(got) == len(x) and all(sum(w for *_, w in rows) == 12 for rows in got.values())
+    x = x.astype(np.float32).astype(float)
+    for q in range(0, 6000, 400):  # the distances are those of the points
+        for o, dist, _ in got[q]:
+            assert dist == pytest.approx(np.linalg.norm(x[q] - x[o]), abs=1e-5) and o != q
+    share = projection.recall(points, near, 12, queries=100)
+    true = 0
+    for q in range(0, 6000, 60):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        true += len(set(np.argsort(d)[:12]) & {o for o, *_ in got[q]})
+    assert share >= 0.9 and abs(share - true / 1200) < 0.06
+    sizes = projection._cells(points, x.shape[1], 8, 200).groupBy("table", "cell").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 400
+
+
+def test_cells_are_cut_again_until_they_are_small(spark, monkeypatch):
+    """Two halvings a round: later rounds cut every cell by its own medians."""
+    monkeypatch.setattr(projection, "HALVINGS", 2)
+    points = as_points(spark, clusters(3000, 5))
+    cells = projection._cells(points, 5, 3, 50)
+    assert cells.count() == 9000 and cells.select("table", "point").distinct().count() == 9000
+    assert cells.groupBy("table", "cell").count().agg({"count": "max"}).first()[0] <= 100
+
+
+def test_projected_neighbours_of_few_equal_or_many_copied_points(spark, monkeypatch):
+    monkeypatch.setattr(projection, "BLOCK", 16)  # tiles
+    x = clusters(150, 4)
+    copies = np.ones(150, int)
+    copies[7] = 40
+    near = found_by(projection.projected_neighbours(as_points(spark, x, copies), 10, tables=2, leaf=500))
+    exact = found_by(lof.neighbours(as_points(spark, x, copies), 10))
+    for q, rows in exact.items():  # one cell holds all points, so nothing is missed
+        assert sorted((round(d, 4), w) for _, d, w in rows) == sorted((round(d, 4), w) for _, d, w in near[q])
+    assert near[7] == [(7, 0.0, 10)]
+    line = as_points(spark, np.zeros((900, 3)) + np.arange(900)[:, None] // 450)  # no direction parts equal ones
+    assert len(found_by(projection.projected_neighbours(line, 5, tables=2, leaf=20))) == 900
+    assert projection.projected_neighbours(as_points(spark, x).limit(0), 5).count() == 0
+
+
+def test_detectors_at_a_budget(spark):
+    rng = np.random.default_rng(3)
+    x = clusters(800, 6)
+    x[:20] += rng.normal(size=(20, 6)) * 25  # planted outliers
+    names = [f"f{i}" for i in range(6)]
+    rows = [(f"T{i:04d}", int(i < 20), float(i % 40), *map(float, v)) for i, v in enumerate(x)]
+    ddl = "transaction_id string, label int, poor double, " + ", ".join(f"{c} double" for c in names)
+    table = spark.createDataFrame(rows, ddl)
+    tried = {
+        "poor": detectors.by_column("poor"),
+        "exact": detectors.by_density(names, 20, exact=True),
+        "projected": detectors.by_density(names, 20),
+    }
+    got = {r["detector"]: r for r in detectors.compare(table, tried, budget=40).collect()}
+    top = sorted(rows, key=lambda r: (-r[2], r[0]))[:40]
+    assert got["poor"]["cases_caught"] == sum(r[1] for r in top)
+    assert got["exact"]["cases_caught"] >= 18 and got["projected"]["cases_caught"] >= 18
+    assert {r["of"] for r in got.values()} == {20}
