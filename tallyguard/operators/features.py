@@ -37,7 +37,8 @@ NUMERIC = (
     "pct_of_threshold",
 )
 CATEGORICAL = ("transaction_type", "channel")
-MAX_LEVELS = 500  # per category; each becomes a column
+MAX_LEVELS = 500  # per category with a column of their own; all others share one
+RARE = "<rare>"
 
 
 def history(
@@ -248,21 +249,33 @@ def with_tenure(book: DataFrame, customers: DataFrame, hot: HotKeys | None = Non
     ).drop("opened")
 
 
+def frequent_levels(book: DataFrame, column: str, most: int = MAX_LEVELS) -> list[str]:
+    """The ``most`` frequent levels (ties by name), sorted; ``RARE`` follows if there are others."""
+    counts = book.select(column).filter(F.col(column).isNotNull()).groupBy(column).count()
+    found = [r[0] for r in counts.orderBy(F.desc("count"), column).limit(most + 1).collect()]
+    kept = sorted(name for name in found[:most] if name != RARE)
+    return [*kept, RARE] if len(found) > len(kept) else kept
+
+
 def observed_levels(book: DataFrame, most: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Category levels in the book, to be frozen with a model; ValueError beyond ``most``."""
-    levels = {}
-    for column in CATEGORICAL:
-        found = book.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1)
-        levels[column] = sorted(r[0] for r in found.collect())
-        if len(levels[column]) > most:
-            raise ValueError(f"{column} has more than {most} levels: it is no category")
-    return levels
+    """Category levels in the book, to be frozen with a model."""
+    return {column: frequent_levels(book, column, most) for column in CATEGORICAL}
 
 
 def one_hot(levels: dict[str, list[str]]) -> dict[str, Column]:
-    """One 0/1 column per level, none dropped; a level not listed gives zeros."""
+    """One 0/1 column per level, none dropped; a level not listed gives zeros.
+
+    Where ``RARE`` is listed, its column holds every other level, also those unseen so far.
+    """
+
+    def is_level(column: str, names: list[str], level: str) -> Column:
+        value = F.col(column)
+        if level != RARE:
+            return value == level
+        return ~value.isin([name for name in names if name != RARE])
+
     return {
-        f"{column}_{level}": F.coalesce(F.col(column) == level, F.lit(False)).cast("double")
+        f"{column}_{level}": F.coalesce(is_level(column, names, level), F.lit(False)).cast("double")
         for column, names in levels.items()
         for level in names
     }

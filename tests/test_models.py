@@ -1,12 +1,16 @@
 """Isolation forest and local outlier factor against plain implementations."""
 
+import json
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyguard.operators import detectors, isolation, lof, projection
+from tallyguard.operators import detectors, isolation, lof, pipeline, projection
 from tallyguard.operators.isolation import expected_path, grow, path_lengths
 
 NAMES = [f"f{i}" for i in range(4)]
@@ -147,13 +151,63 @@ def test_trees_draw_from_the_whole_book(spark):
     assert 64 * 64 < seen[0] < seen[1]
 
 
-def test_too_many_levels_are_refused(spark):
-    from tallyguard.operators.features import observed_levels
+def test_rare_levels_share_a_column(spark):
+    from tallyguard.operators.features import RARE, observed_levels, one_hot
 
-    rows = spark.range(50).selectExpr("concat('k', id) AS transaction_type", "'c' AS channel")
-    assert len(observed_levels(rows)["transaction_type"]) == 50
-    with pytest.raises(ValueError):
-        observed_levels(rows, most=49)
+    rows = spark.range(60).selectExpr(
+        "CASE WHEN id < 50 THEN concat('k', id) WHEN id < 59 THEN 'k7' END AS transaction_type", "'c' AS channel"
+    )
+    assert len(observed_levels(rows, most=50)["transaction_type"]) == 50  # none is rare
+    levels = observed_levels(rows, most=3)
+    assert levels == {"transaction_type": ["k0", "k1", "k7", RARE], "channel": ["c"]}
+    later = spark.createDataFrame([("k7", "c"), ("k9", "d"), ("new", "c"), (None, None)], "transaction_type string, channel string")
+    got = later.select(*[e.alias(c) for c, e in one_hot(levels).items()]).collect()
+    assert [tuple(r) for r in got] == [(0, 0, 1, 0, 1), (0, 0, 0, 1, 0), (0, 0, 0, 1, 1), (0, 0, 0, 0, 0)]
+
+
+def ml_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (f"T{i:04d}", float(rng.normal()), float(rng.normal() * 9), rng.choice(["a", "b", None, f"odd{i}"]).__str__())
+        for i in range(500)
+    ]
+    rows += [("X1", 40.0, -300.0, "a"), ("X2", None, 1.0, None)]
+    table = spark.createDataFrame(rows, "transaction_id string, f double, g double, kind string")
+    return table.withColumn("kind", F.nullif("kind", F.lit("None"))).fillna({"f": 0.0})
+
+
+def test_pipeline_is_saved_and_loaded_in_another_process(spark, tmp_path):
+    rows = ml_rows(spark)
+    fitted = pipeline.detector_pipeline(["f", "g"], ["kind"], most=2, trees=20, treeRows=128).fit(rows)
+    assert json.loads(fitted.stages[0].getOrDefault("levels")) == {"kind": ["a", "b", "<rare>"]}
+    scored = {r["transaction_id"]: r["score"] for r in fitted.transform(rows).select("transaction_id", "score").collect()}
+    assert len(scored) == 502 and max(scored, key=scored.get) == "X1"
+    rows.write.parquet(f"{tmp_path}/rows")
+    fitted.write().save(f"{tmp_path}/model")
+    code = f"""
+import json, sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from tallyguard.session import local_session
+spark = local_session(cpus=2)
+from pyspark.ml import PipelineModel
+model = PipelineModel.load({f"{tmp_path}/model"!r})
+rows = model.transform(spark.read.parquet({f"{tmp_path}/rows"!r})).select("transaction_id", "score").collect()
+print("SCORES" + json.dumps(dict(map(tuple, rows))))
+"""
+    env = {**os.environ, "PYSPARK_GATEWAY_PORT": "", "PYSPARK_GATEWAY_SECRET": ""}
+    env = {k: v for k, v in env.items() if not k.startswith("PYSPARK_GATEWAY")}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=170)
+    line = next(x for x in done.stdout.splitlines() if x.startswith("SCORES"))
+    assert json.loads(line.removeprefix("SCORES")) == scored
+
+
+def test_pipeline_on_levels_and_rows_it_has_not_seen(spark):
+    rows = ml_rows(spark)
+    fitted = pipeline.inputs_pipeline(["f"], ["kind"], most=500).fit(rows.filter("kind IN ('a', 'b')"))
+    later = spark.createDataFrame([("n", 0.0, 0.0, "new"), ("m", 0.0, 0.0, None)], rows.schema)
+    out = fitted.transform(later).select("kind_folded", "kind_index").collect()
+    assert [tuple(r) for r in out] == [("new", 2.0), ("<missing>", 2.0)]
+    assert fitted.transform(later.limit(0)).count() == 0
 
 
 def clusters(n, dims=12, seed=5):
