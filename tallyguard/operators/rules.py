@@ -86,7 +86,7 @@ def structuring(
     near = with_clock(book).filter(in_band(F.col("amount"), threshold, band_low))
     hot = _hot(near, hot)
     width, k = round(window_days * C.DAY), min_count
-    legs = hot.split(by_side(near))
+    legs = hot.split_in_order(by_side(near), ["side", "account"], ["us", "transaction_id"])
     found = _flag_bursts(legs, ["side", "account", CHUNK], width, k)
     hits = found.filter("in_burst").select("transaction_id")
     if hot and k > 1:

@@ -55,7 +55,7 @@ def running(
     inputs = {out: f"_in_{out}" for out in totals}
     # staged, since the chunks' totals and their rows both read it
     chunked = stage(
-        hot.split(df).withColumns({inputs[out]: F.col(src) for out, (_, src) in totals.items()}),
+        hot.split_in_order(df, keys, order, backwards).withColumns({inputs[out]: F.col(src) for out, (_, src) in totals.items()}),
         "timeline",
     )
     per_chunk = (

@@ -5,6 +5,8 @@ so no chunk of a timeline grows with it. Hot accounts and the boundaries of thei
 tables in the shared folder; they are joined like any other, and the optimizer broadcasts them
 only while their size allows it. Boundaries are quantiles, ``FAN`` slices at a time: a slice
 that is still too large is cut again, so chunks hold about equally many rows at any scale.
+Quantiles of time cannot part the rows of one instant (dates without a clock, say); an operator
+that knows the order within an instant has such a chunk cut along that order.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ SALT = "_salt"
 CHUNK_ROWS = 2_000_000
 NULL_PARTS = 1024  # over which rows without an account are dealt
 FAN = 64  # slices that one level of boundaries makes
+PARTS = 1024  # into which a crowded chunk is cut at most
+CROWDED = 4  # times the rows meant for it: a leg may stand on a timeline with its probes
+SAMPLED = 16  # rows of a crowded chunk behind each of its cuts
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,7 @@ class HotKeys:
     keys: DataFrame | None = None
     levels: tuple[DataFrame, ...] = ()
     fan: int = FAN
+    rows: int = CHUNK_ROWS
 
     def __bool__(self) -> bool:
         return self.keys is not None
@@ -49,6 +55,37 @@ class HotKeys:
             out = _sliced(out, table, account, us, first if level == 0 else F.col(CHUNK), self.fan)
         return out
 
+    def split_in_order(
+        self, df: DataFrame, keys: list[str], order: list[str], backwards: bool = False
+    ) -> DataFrame:
+        """:meth:`split`, then cut what is still crowded along the whole ``order``.
+
+        ``order`` starts with the time, which runs from late to early if ``backwards``, and tells
+        rows of one instant apart as the caller will sort them. Chunk numbers grow with time; read
+        backwards they follow the order. Cuts come from a bounded sample of each crowded chunk.
+        """
+        out = self.split(df, us=order[0])
+        if not self:
+            return out
+        out = stage(out, "chunks")
+        place = F.struct((-F.col(order[0]) if backwards else F.col(order[0])).alias("us"), *order[1:])
+        counts = out.filter(F.col(CHUNK) >= 0).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+        crowded = stage(counts.filter(F.col("_n") > CROWDED * self.rows), "crowded")
+        if crowded.isEmpty():
+            return out
+        parts = F.least(F.lit(PARTS), F.ceil(F.col("_n") / self.rows)).cast("int")
+        draw = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) / float(1 << 30)
+        sampled = out.join(crowded, [*keys, CHUNK]).filter(draw * F.col("_n") < parts * SAMPLED)
+        listed = sampled.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(place)).alias("_all"))
+        cuts = listed.select(
+            *keys, CHUNK, F.filter("_all", lambda _, i: i % SAMPLED == SAMPLED - 1).alias("_cuts")
+        )
+        behind = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= place)), F.lit(0))
+        sub = F.least(behind, F.lit(PARTS * SAMPLED - 1))
+        sub = PARTS * SAMPLED - 1 - sub if backwards else sub
+        finer = F.when(F.col(CHUNK) < 0, F.col(CHUNK)).otherwise(F.col(CHUNK) * PARTS * SAMPLED + sub)
+        return out.join(cuts, [*keys, CHUNK], "left").withColumn(CHUNK, finer).select(*out.columns)
+
     def lookup(self, df: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
         """Left join to a table with one row per account, hot accounts salted.
 
@@ -114,7 +151,7 @@ def find_hot(
     timed = legs.join(keys.select(F.col("_hot_key").alias("account")), "account", "left_semi")
     quantiles = [i / fan for i in range(fan + 1)]
     while us and top > rows:
-        placed = HotKeys(keys, tuple(levels), fan).split(timed)
+        placed = HotKeys(keys, tuple(levels), fan, rows).split(timed)
         slices = placed.groupBy("account", F.greatest(CHUNK, F.lit(0)).alias("_slice")).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx("us", quantiles, 1_000).alias("q"),
@@ -131,7 +168,7 @@ def find_hot(
         table = stage(cut, "hot-cuts")
         largest = table.agg(F.max("n")).first()[0]
         if not largest:
-            break  # what is left are rows of one instant
+            break  # what is left are rows of one instant, see HotKeys.split_in_order
         levels.append(table.drop("n"))
         top = -(-largest // fan)
-    return HotKeys(keys, tuple(levels), fan)
+    return HotKeys(keys, tuple(levels), fan, rows)
