@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..plans.stage import stage
 
 NO_GROUP = "und"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SEGMENT = 1 << 18  # bytes whose prefix polynomial is held at once
 AT_ONCE = 1 << 16  # phrases that are compared or materialised at once
 TOP_ROWS = 1_000_000  # rows among which one task finds the first ones
@@ -101,11 +101,11 @@ def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
 class Block:
     """The words of a block: where they start and end, and where a piece ends behind one."""
 
-    def __init__(self, group: str, body: bytes):
+    def __init__(self, group: str, body: bytes | pa.Buffer):
         self.group = group
         self.raw = np.frombuffer(body, np.uint8)
-        self.ends = np.flatnonzero((self.raw == 32) | (self.raw == 10))
-        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        self.ends = np.flatnonzero((self.raw == 32) | (self.raw == 10)).astype(np.int32)
+        self.starts = np.concatenate([np.zeros(1, np.int32), self.ends[:-1] + 1])[: len(self.ends)]
         self.stops = self.raw[self.ends] == 10
 
     def places(self, n: int) -> np.ndarray:
@@ -190,7 +190,9 @@ def blocks(
     """(block, grp, words, body): all texts, laid out in blocks and written to the shared folder."""
     rows = docs.select(F.coalesce(F.col(group).cast("string"), F.lit(NO_GROUP)).alias("grp"), F.col(text).alias("text"))
     laid = rows.mapInArrow(_lay_out(block_bytes), "block bigint, grp string, words bigint, body binary")
-    return stage(laid.filter("words > 0"), "phrase-blocks")
+    # bodies are large values, which this codec reads as a stream and not in buffers of their size
+    with _setting(docs.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+        return stage(laid.filter("words > 0"), "phrase-blocks")
 
 
 def _rows(size: int, **columns) -> pa.Table:
@@ -208,10 +210,12 @@ def _summed(block: Block, at: np.ndarray, words: int, name: int) -> pa.Table:
 
 def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            block = Block(row["grp"], row["body"])
+        names = batch.column("block").to_pylist()
+        for i, name in enumerate(names):  # one body at a time, read where it lies
+            block = Block(batch.column("grp")[i].as_py(), batch.column("body")[i].as_buffer())
             for words in (1, 2):
-                yield from _summed(block, np.flatnonzero(block.places(words)), words, row["block"]).to_batches()
+                yield from _summed(block, np.flatnonzero(block.places(words)), words, name).to_batches()
+            pa.default_memory_pool().release_unused()
 
 
 def _longer(block: Block, name: int, known: np.ndarray, words: int) -> pa.Table:
@@ -232,7 +236,7 @@ def _marked(longest: int, more: bool):
     def work(key: tuple, bodies: pa.Table, marks: pa.Table) -> pa.Table:
         if bodies.num_rows == 0 or marks.num_rows == 0:
             return _SCHEMA.empty_table()
-        block = Block(bodies.column("grp")[0].as_py(), bodies.column("body")[0].as_py())
+        block = Block(bodies.column("grp")[0].as_py(), bodies.column("body")[0].as_buffer())
         lengths = marks.column("words").to_numpy()
         fps, pointers = marks.column("fp").to_numpy(), marks.column("at").to_numpy()
         parts = []
@@ -242,6 +246,7 @@ def _marked(longest: int, more: bool):
             parts += _materialised(block, words, fps[own], pointers[own])
         if more:
             parts.append(_longer(block, key[0].as_py(), fps[lengths == longest], longest + 1))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts)
 
     return work
@@ -302,20 +307,24 @@ def _frequent(found: DataFrame, least: int) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Let Spark delete a job's shuffle files when the job is over; what it wrote stays."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    if not spark.conf.isModifiable(name):  # a version without this setting
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for a while, where this version of Spark has it."""
+    if not spark.conf.isModifiable(name):
         yield
         return
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def _shuffles_removed(spark: SparkSession):
+    """Let Spark delete a job's shuffle files when the job is over; what it wrote stays."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def frequencies(laid: DataFrame, max_words: int = 3, least: int = 10) -> DataFrame:
     """(grp, words, phrase, n): exact counts of all phrases of up to ``max_words`` (at least two) words
     that occur ``least`` times or more in their group. ``laid`` are the rows of :func:`blocks`."""
