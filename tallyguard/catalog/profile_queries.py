@@ -316,3 +316,18 @@ def busiest_sender_first_rows(spark, sf_dir):
     return profiling.first_rows_of_busiest(book(spark, sf_dir)).select(
         "transaction_id", "us", "amount"
     )
+
+
+@query(
+    "profile_level_leak",
+    with_tables(
+        RAW,
+        """SELECT count(*) AS n, min(left(transaction_id, 3)) = max(left(transaction_id, 3)) AS all_share_prefix,
+  bool_and(coalesce(sender_country = receiver_country, false)) AS all_domestic,
+  bool_or(coalesce(sender_country = receiver_country, false)) AS any_domestic,
+  bool_and(channel IS NOT NULL) AS all_have_channel
+FROM raw_book WHERE transaction_type = 'wire_transfer'""",
+    ),
+)
+def profile_level_leak(spark, sf_dir):
+    return profiling.level_leak(testbook.raw_text(spark, sf_dir), "transaction_type", "wire_transfer")

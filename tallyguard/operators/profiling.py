@@ -305,3 +305,20 @@ def first_rows_of_busiest(book: DataFrame, n: int = 8) -> DataFrame:
         .limit(n)
     )
 
+
+
+def level_leak(raw: DataFrame, column: str, level: str, prefix: int = 3) -> DataFrame:
+    """Whether a stray level gives its rows away: what all, or any, of them have in common.
+
+    An unknown country is no domestic leg. Without such rows there is nothing to say: nulls.
+    """
+    rows = raw.filter(F.col(column) == level)
+    start = F.substring("transaction_id", 1, prefix)
+    domestic = F.coalesce(F.col("sender_country") == F.col("receiver_country"), F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.min(start) == F.max(start)).alias("all_share_prefix"),
+        F.bool_and(domestic).alias("all_domestic"),
+        F.bool_or(domestic).alias("any_domestic"),
+        F.bool_and(F.col("channel").isNotNull()).alias("all_have_channel"),
+    )

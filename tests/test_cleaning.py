@@ -153,3 +153,18 @@ def test_nan_amount_is_a_missing_amount(spark):
     rows, rejected, log = run(spark, {"amount": float("nan")})
     assert rows == [] and [r["quarantine_reason"] for r in rejected] == ["amount_missing"]
     assert log["quarantined_missing_amount"] == 1 and log["amount_over_50k_kept"] == 0
+
+
+def test_what_all_rows_of_a_stray_level_share(spark):
+    from tallyguard.operators.profiling import level_leak
+
+    rows = [
+        ("TXN1", "wire", "UK", "UK", "app"),
+        ("TXN2", "wire", "UK", None, None),
+        ("ODD3", "card", "UK", "FR", "app"),
+    ]
+    ddl = "transaction_id string, transaction_type string, sender_country string, receiver_country string, channel string"
+    raw = spark.createDataFrame(rows, ddl)
+    assert tuple(level_leak(raw, "transaction_type", "wire").first()) == (2, True, False, True, False)
+    assert tuple(level_leak(raw, "transaction_type", "card").first()) == (1, True, False, False, True)
+    assert tuple(level_leak(raw, "transaction_type", "none").first()) == (0, None, None, None, None)
