@@ -12,6 +12,8 @@ from . import (  # noqa: F401  (registration)
     whatif_queries,
     model_queries,
     report_queries,
+    scan_queries,
+    sink_queries,
 )
 
 __all__ = ["ORACLE", "QUERIES"]

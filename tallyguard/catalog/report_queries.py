@@ -123,3 +123,63 @@ def rules_repeated_ids(spark, sf_dir):
     return evaluation.with_scores(flagged, scores).select(
         "transaction_id", "us", "score", "round_amount", "high_risk_country"
     )
+
+
+def _call(spark, sf_dir, name, **arguments):
+    reports.register(spark, book(spark, sf_dir), testbook.customers(spark, sf_dir), params=PARAMS)
+    reports.define(spark)
+    return stage(reports.call(spark, name, **arguments), f"report-{name}")
+
+
+for _name, _threshold, _low, _times in (
+    ("report_band_wide", 10_000.0, 0.6, 2),
+    ("report_band_narrow", 8_000.0, 0.9, 1),
+):
+
+    @query(
+        _name,
+        with_tables(
+            FLAGGED,
+            f"""SELECT sender_account, count(*) AS payments, CAST(sum(cents) AS BIGINT) AS pennies,
+  count(*) FILTER (structuring) AS flagged FROM flagged
+WHERE amount >= CAST({_threshold} AS DOUBLE) * CAST({_low} AS DOUBLE) AND amount < {_threshold} GROUP BY 1 HAVING count(*) >= {_times}""",
+        ),
+    )
+    def report_band(spark, sf_dir, threshold=_threshold, low=_low, times=_times):
+        """The same SQL table function at two settings."""
+        return _call(spark, sf_dir, "payments_in_band", threshold=threshold, low=low, times=times)
+
+
+for _name, _countries, _floor in (
+    ("report_exposure_listed", testbook.HIGH_RISK, 0.0),
+    ("report_exposure_large", ("NATION_1", "NATION_2"), 5_000.0),
+):
+
+    @query(
+        _name,
+        with_tables(
+            BOOK,
+            f"""SELECT * FROM (SELECT transaction_id, round(amount, 2) AS amount,
+  coalesce(sender_country IN {_countries}, false) AS sender_listed,
+  coalesce(receiver_country IN {_countries}, false) AS receiver_listed FROM book WHERE amount >= {_floor})
+WHERE sender_listed OR receiver_listed""",
+        ),
+    )
+    def report_exposure(spark, sf_dir, countries=_countries, floor=_floor):
+        return _call(
+            spark, sf_dir, "country_exposure", countries=F.array(*map(F.lit, countries)), at_least=floor
+        )
+
+
+for _name, _floor, _rules in (("report_overlap_any", 0.0, 1), ("report_overlap_double", 1_000.0, 2)):
+
+    @query(
+        _name,
+        with_tables(
+            FLAGGED,
+            f"""SELECT rule_reasons AS reason, count(*) AS alerts, CAST(sum(cents) AS BIGINT) AS pennies
+FROM flagged WHERE amount >= {_floor} AND rules_fired >= {_rules} GROUP BY 1""",
+        ),
+    )
+    def report_overlap(spark, sf_dir, floor=_floor, fired=_rules):
+        return _call(spark, sf_dir, "rule_overlap", at_least=floor, rules_at_least=fired)

@@ -17,6 +17,8 @@ from ..plans import HotKeys, find_hot
 from ..sources.schemas import RAW_COLUMNS
 
 REASON = "quarantine_reason"
+VERDICT, KEPT, REJECTED = "verdict", "kept", "quarantined"
+_UNREADABLE = "unreadable"
 _COUNTERS = ("raw_rows", "raw_unparsed", "raw_imputed", "raw_no_channel")
 
 
@@ -179,3 +181,59 @@ def cleaning_log(trace: DataFrame) -> DataFrame:
         "rows_out": F.sum("kept"),
     }
     return per_id.agg(*[c.cast("bigint").alias(name) for name, c in total.items()])
+
+
+def with_verdict(trace: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Traced rows with the part they go to, for one write split by it.
+
+    ``unreadable`` are lines a scan could not read (``sources.scan.split``), with their reason.
+    They are quarantined as they are: nothing is compared, imputed or folded in them.
+    """
+    rows = trace.withColumn(VERDICT, F.when(F.col(REASON).isNull(), KEPT).otherwise(REJECTED))
+    if unreadable is None:
+        return rows
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    counts = {"raw_rows": one, "variants": one, "raw_unparsed": zero, "raw_imputed": zero}
+    counts |= {"raw_no_channel": zero, "was_stray_type": F.lit(0)}
+    lines = unreadable.select(*RAW_COLUMNS, REASON).withColumns(
+        {
+            "timestamp": parse_timestamp(F.col("timestamp")),
+            **counts,
+            VERDICT: F.lit(REJECTED),
+        }
+    )
+    typed = [F.col(c).cast(t) for c, t in rows.dtypes if c in lines.columns]
+    return rows.unionByName(lines.select(*typed), allowMissingColumns=True)
+
+
+def log_metrics() -> dict[str, Column]:
+    """What the log counts, as aggregates to be observed while the rows are written."""
+    kept = F.col(REASON).isNull()
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    return {
+        "rows_in": total("raw_rows"),
+        "unparsed_timestamps": total("raw_unparsed"),
+        "sender_country_imputed": total("raw_imputed"),
+        "channel_unknown": total("raw_no_channel"),
+        "exact_duplicates_dropped": total("raw_rows") - total("variants"),
+        "near_duplicates_dropped": total("variants") - F.count(F.lit(1)),
+        "wire_transfer_type_remapped": total("was_stray_type"),
+        "quarantined_missing_amount": F.count_if(F.col(REASON) == "amount_missing"),
+        "quarantined_negative_amount": F.count_if(F.col(REASON) == "amount_negative"),
+        "quarantined_unreadable": F.count_if(F.startswith(REASON, F.lit(_UNREADABLE))),
+        "amount_over_50k_kept": F.count_if(kept & (F.col("amount") > LARGE_AMOUNT)),
+        "rows_out": F.count_if(kept),
+    }
+
+
+def observed_log(metrics: DataFrame, written: DataFrame) -> DataFrame:
+    """The log from observed metrics. Repeated ids are the one count that no pass over single
+    rows can give: they take the id column of the written rows, and nothing else of them."""
+    readable = ~F.coalesce(F.startswith(REASON, F.lit(_UNREADABLE)), F.lit(False))
+    per_id = written.filter(readable).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n"))
+    names = [*log_metrics()]
+    return metrics.select(*names).withColumn("ids_still_duplicated", repeated.scalar())

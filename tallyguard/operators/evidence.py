@@ -16,6 +16,7 @@ from .. import config as C
 from ..functions.numbers import cents, in_band
 from ..functions.text import pounds, whole
 from ..plans import HotKeys, find_hot, running
+from .evaluation import headline
 from .rules import by_side, with_clock
 
 EVENT, LO, MID, HI = 0, 1, 2, 3
@@ -473,3 +474,51 @@ def rule_summary(metrics: DataFrame, contribution: DataFrame) -> DataFrame:
     )
 
 
+
+
+def payload_pages(records: DataFrame, page: int = 500) -> DataFrame:
+    """Cases in the queue's order, ``page`` to an array; a page is all that one task holds."""
+    place = F.substring("id", len("ALERT-") + 1, 20).cast("bigint")
+    case = F.struct(*records.columns)
+    return (
+        records.select(place.alias("place"), case.alias("case"))
+        .groupBy(F.expr(f"(place - 1) div {page}").alias("page"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "case"))).alias("listed"))
+        .select("page", F.col("listed.case").alias("cases"))
+    )
+
+
+def payload_document(
+    records: DataFrame,
+    strategies: DataFrame,
+    rules_table: DataFrame,
+    dataset: DataFrame,
+    page: int = 500,
+) -> DataFrame:
+    """Headline, strategies, book, table of rules and cases: one document per row when written.
+
+    Page 0 is the whole payload of a queue of up to ``page`` cases. A longer queue goes on in
+    further pages, which hold cases alone. Without cases there is page 0 with none.
+    """
+    spark = records.sparkSession
+
+    def only(table: DataFrame) -> Column:
+        return table.agg(F.first(F.struct(*table.columns))).scalar()
+
+    def strategy(name: str) -> Column:
+        return only(strategies.filter(F.col("strategy") == name).drop("strategy"))
+
+    head = spark.range(1).select(
+        F.lit(0).cast("bigint").alias("page"),
+        only(headline(strategies, "any_rule", "combined_final")).alias("headline"),
+        strategy("any_rule").alias("baseline"),
+        strategy("combined_final").alias("combined"),
+        strategy("ml_alone_same_budget").alias("ml_alone"),
+        only(dataset).alias("dataset"),
+        rules_table.agg(
+            F.array_sort(F.collect_list(F.struct(*rules_table.columns)))
+        ).scalar().alias("rules"),
+    )
+    document = head.join(payload_pages(records, page), "page", "full")
+    none = F.array().cast(document.schema["cases"].dataType)
+    return document.withColumn("cases", F.coalesce("cases", none))

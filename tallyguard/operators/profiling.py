@@ -322,3 +322,12 @@ def level_leak(raw: DataFrame, column: str, level: str, prefix: int = 3) -> Data
         F.bool_or(domestic).alias("any_domestic"),
         F.bool_and(F.col("channel").isNotNull()).alias("all_have_channel"),
     )
+
+
+def values_at_ranks(df: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
+    """The exact value at each ``rank`` (from 1) of a small table of ranks, by the ladder."""
+    steps = ladder(df, value, {"total": F.col(value)})
+    inside = (F.col("rank") > F.col("n_before")) & (F.col("rank") <= F.col("n_before") + F.col("n"))
+    return steps.join(F.broadcast(ranks.select("rank").distinct()), inside).select(
+        "rank", F.col(value).alias("value")
+    )

@@ -29,6 +29,12 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder nobody has used, among what this application has staged."""
+    application = spark.sparkContext.applicationId
+    return f"{stage_root(spark)}/tallyguard-{application}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and continue from the files.
 
@@ -37,8 +43,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lie in one folder per application, to be removed when the application is over.
     """
     spark = df.sparkSession
-    application = spark.sparkContext.applicationId
-    path = f"{stage_root(spark)}/tallyguard-{application}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -71,3 +71,49 @@ def run(spark: SparkSession, name: str) -> DataFrame:
 
 def run_all(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: run(spark, name) for name in sorted(REPORTS)}
+
+
+# Reports with thresholds: SQL table functions over the views, (arguments, columns, body)
+FUNCTIONS = {
+    "payments_in_band": (
+        "threshold DOUBLE, low DOUBLE, times BIGINT",
+        "sender_account STRING, payments BIGINT, pennies BIGINT, flagged BIGINT",
+        """SELECT sender_account, count(*) AS payments,
+                  sum(CAST(round(amount * 100) AS BIGINT)) AS pennies, count_if(structuring) AS flagged
+           FROM flagged
+           WHERE amount >= payments_in_band.threshold * payments_in_band.low
+             AND amount < payments_in_band.threshold AND sender_account IS NOT NULL
+           GROUP BY sender_account HAVING count(*) >= max(payments_in_band.times)""",
+    ),
+    "country_exposure": (
+        "countries ARRAY<STRING>, at_least DOUBLE",
+        "transaction_id STRING, amount DOUBLE, sender_listed BOOLEAN, receiver_listed BOOLEAN",
+        """SELECT transaction_id, round(amount, 2), sender_listed, receiver_listed FROM (
+             SELECT *, coalesce(array_contains(country_exposure.countries, sender_country), false) AS sender_listed,
+                    coalesce(array_contains(country_exposure.countries, receiver_country), false) AS receiver_listed
+             FROM flagged WHERE amount >= country_exposure.at_least)
+           WHERE sender_listed OR receiver_listed""",
+    ),
+    "rule_overlap": (
+        "at_least DOUBLE, rules_at_least INT",
+        "reason STRING, alerts BIGINT, pennies BIGINT",
+        """SELECT rule_reasons, count(*), sum(CAST(round(amount * 100) AS BIGINT)) FROM flagged
+           WHERE amount >= rule_overlap.at_least AND rules_fired >= rule_overlap.rules_at_least
+           GROUP BY rule_reasons""",
+    ),
+}
+
+
+def define(spark: SparkSession) -> None:
+    """Make the parametrised reports callable from SQL text of one's own (after ``register``)."""
+    for name, (arguments, columns, body) in FUNCTIONS.items():
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) "
+            f"RETURNS TABLE ({columns}) RETURN {body}"
+        )
+
+
+def call(spark: SparkSession, name: str, **arguments) -> DataFrame:
+    """A parametrised report. Values are bound as named markers, never pasted into the text."""
+    marks = ", ".join(f"{a} => :{a}" for a in arguments)
+    return spark.sql(f"SELECT * FROM {name}({marks})", args=arguments)

@@ -22,6 +22,7 @@ from .operators import (
 from .operators.evaluation import Ranking
 from .plans import HotKeys, find_hot, stage, together
 from .sources.files import write_json, write_table
+from .sources.sinks import observed_metrics, publish, read_published
 
 
 def profile(raw_text: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
@@ -79,6 +80,31 @@ def clean(
     )
 
 
+def publish_clean(
+    raw: DataFrame,
+    customers: DataFrame,
+    out: str,
+    run: str,
+    spellings: dict[str, str] | None = None,
+    unreadable: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`clean` as one write that can be repeated: clean book, quarantine and log of ``run``.
+
+    Both parts are subfolders of a single publication, the log was counted by its tasks. A run
+    that is published already is read, not made again; one that broke off leaves no trace in
+    what is read.
+    """
+    spark, path = raw.sparkSession, f"{out}/transactions"
+    rows = cleaning.with_verdict(cleaning.traced(raw, customers, spellings), unreadable)
+    publish(rows, path, run, by=(cleaning.VERDICT,), metrics=cleaning.log_metrics())
+    written = read_published(spark, path, run)
+    return (
+        cleaning.clean_book(written.filter(F.col(cleaning.VERDICT) == cleaning.KEPT)),
+        cleaning.quarantine(written.filter(F.col(cleaning.VERDICT) == cleaning.REJECTED)),
+        cleaning.observed_log(observed_metrics(spark, path, run), written),
+    )
+
+
 def score(book: DataFrame, customers: DataFrame, hot: HotKeys, **forest_options):
     """Anomaly scores of a forest fitted on the book, its node table and category levels."""
     levels = features.observed_levels(book)
