@@ -38,7 +38,7 @@ from .blocks import (
     unpack_words,
 )
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 8 << 20
 SYMBOLS, EDGE, BITS = 257, 256, 9  # bytes, and one symbol for both ends of a text
 _DENSE = 1 << 26  # largest table of pairs; beyond it pairs are sorted

@@ -109,6 +109,14 @@ def test_longer_contexts_predict_held_out_text_better(spark):
     assert math.log10(1 / 257) < joined[0] < joined[2] < joined[4] < 0
 
 
+def test_model_beats_its_base_on_text_it_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sums = ppm.score(docs).groupBy("held_out").sum("score", "base_score").collect()
+    assert len(sums) == 2
+    for row in sums:
+        assert row["sum(score)"] > row["sum(base_score)"]
+
+
 def test_dense_and_sorted_pairs_agree(monkeypatch):
     text = b"some text of some length" * 20
     dense = ppm.grams_of(text, np.array([200, 0, 280]), 3)
