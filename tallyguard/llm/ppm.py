@@ -37,6 +37,7 @@ from .blocks import (
     unpack,
     unpack_words,
 )
+from .phrases import _shuffles_removed
 
 ORDER = 5
 BLOCK_BYTES = 8 << 20
@@ -346,6 +347,12 @@ def score(
     )
     shards = shard_count(rows, "text", shard_bytes)
     made = stage(rows.mapInArrow(_list_blocks(shards, order, block_bytes), _BLOCK), "ppm-blocks")
+    # later jobs continue from files, so the shuffle files of each go when it is over
+    with _shuffles_removed(docs.sparkSession):
+        return _scored(made, shards, order)
+
+
+def _scored(made: DataFrame, shards: int, order: int) -> DataFrame:
     listed = {k: made.filter(F.col("kind") == k).select("block", "shard", "listed") for k in ("word", "gram")}
 
     counted = listed["word"].groupBy("shard").applyInArrow(_count_words, _COUNTED)
@@ -357,7 +364,7 @@ def score(
 
     grams = listed["gram"].groupBy("shard").applyInArrow(_add_grams, "gram bigint, n bigint")
     grams = stage(grams, "ppm-grams")
-    scored = gram_scores(grams, order)
+    scored = stage(gram_scores(grams, order), "ppm-scores")
     sharded = scored.mapInArrow(_with_shard(shards), "gram bigint, logp double, shard int")
     found = listed["gram"].groupBy("shard").cogroup(sharded.groupBy("shard"))
     counts = words.filter("kind = 'word'").select("block", "kind", "answer")
