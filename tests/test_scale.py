@@ -30,3 +30,50 @@ def test_trees_are_drawn_in_batches_as_defined(spark):
                 expected.add((tree, draw, number, float(i)))
     got = [(r["tree"], r["draw"], r["row"], r["x"][0]) for r in drawn.collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+@pytest.fixture()
+def marked(spark):
+    case = F.col("amount") >= 8_000
+    book = book_of(spark, skewed_rows(300))
+    flags = {whatif.STRUCTURING_TARGET: case, whatif.RAPID_TARGET: F.col("amount") < 2_000, "label": case.cast("int")}
+    return book.withColumns(flags)
+
+
+def test_only_the_features_a_model_reads_are_built(spark, marked):
+    people = spark.createDataFrame([], PEOPLE)
+    levels = features.observed_levels(marked)
+    full = features.build_features(marked, people, levels)
+    some = ["amount_z_vs_account", "receiver_velocity_24h", "is_night", "channel_online_transfer"]
+    few = features.build_features(marked, people, levels, names=some)
+    assert few.columns == ["transaction_id", *some[:1], "is_night", "receiver_velocity_24h", "channel_online_transfer"]
+    assert sorted(few.collect()) == sorted(full.select(*few.columns).collect())
+    narrow = features.build_features(marked, people, levels, names=some[:1])
+    assert "Generate" not in narrow._jdf.queryExecution().executedPlan().toString()  # no probes on the timeline
+    for names in (["hour"], ["sender_account_age_days"], ["sender_txn_count", "receiver_distinct_counterparties"]):
+        few = features.build_features(marked, people, levels, names=names)
+        assert sorted(few.collect(), key=str) == sorted(full.select(*few.columns).collect(), key=str)
+
+
+def test_whatif_layers_write_only_what_their_metrics_read(spark, marked, monkeypatch):
+    written, plain = [], whatif.stage
+
+    def spy(df, name):
+        written.append((name, df.columns))
+        return plain(df, name)
+
+    monkeypatch.setattr(whatif, "stage", spy)
+
+    class Amount:
+        names = ["log_amount"]
+
+        def apply(self, matrix):
+            return matrix.withColumn("score", F.col("log_amount"))
+
+    people = spark.createDataFrame([], PEOPLE)
+    scenarios = {"control": None, "smaller": whatif.smaller_payments}
+    rows = whatif.layer_recall(marked, people, Amount(), features.observed_levels(marked), None, scenarios).collect()
+    assert [r["scenario"] for r in rows] == list(scenarios)
+    assert sum(name == "whatif-original" for name, _ in written) == 1
+    scored = [set(columns) for name, columns in written if name == "scored"]
+    assert len(scored) == 2 and all(c == {"label", "score", "rule_alert", *rules.RULES} for c in scored)
