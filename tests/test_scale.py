@@ -7,7 +7,7 @@ import pytest
 from conftest import book_of, skewed_rows
 from pyspark.sql import functions as F
 
-from tallyguard.operators import features, isolation, rules, whatif
+from tallyguard.operators import features, isolation, lof, projection, rules, whatif
 
 PEOPLE = "account_id string, home_country string, account_open_date date"
 
@@ -77,3 +77,44 @@ def test_whatif_layers_write_only_what_their_metrics_read(spark, marked, monkeyp
     assert sum(name == "whatif-original" for name, _ in written) == 1
     scored = [set(columns) for name, columns in written if name == "scored"]
     assert len(scored) == 2 and all(c == {"label", "score", "rule_alert", *rules.RULES} for c in scored)
+
+
+def points_of(spark, n, dims, seed=4):
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(size=(n // 20, dims))[rng.integers(0, n // 20, n)] + rng.normal(size=(n, dims)) * 0.3).tolist()
+    return spark.createDataFrame([(i, v, 1) for i, v in enumerate(x)], "point bigint, x array<float>, copies bigint")
+
+
+def test_exact_neighbours_repeat_no_point_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(lof, "CELL_POINTS", 40)
+    monkeypatch.setattr(lof, "BLOCK", 32)
+    staged, plain = {}, lof.stage
+
+    def spy(df, name):
+        staged[name] = plain(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(lof, "stage", spy)
+    points = points_of(spark, 1_500, 6)
+    near = lof.neighbours(points, 8)
+    assert near.count() == 1_500 * 8
+    x = np.array([r["x"] for r in points.orderBy("point").collect()], dtype=float)
+    found = {}
+    for r in near.collect():
+        found.setdefault(r["q"], []).append((r["dist"], r["o"]))
+    for q in range(0, 1_500, 100):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        assert {o for _, o in found[q]} == set(np.argsort(d)[:8].tolist())
+    assert sum(len(r["ids"]) // 8 for r in staged["blocks"].collect()) == 1_500  # every point once
+    assert staged["neighbours"].count() == 1_500 * 8 and set(staged) == {"cells", "blocks", "neighbours"}
+
+
+def test_a_pair_is_listed_by_the_first_table_it_meets_in(spark):
+    points = points_of(spark, 2_000, 4)
+    cells = projection._with_cells(points, 4, 6, 100)
+    assert cells.count() == 2_000  # a point is written once, not once per table
+    rows = projection._cells(points, 4, 6, 100).withColumns({c: F.lit(0) for c in ("i", "j", "block")})
+    found = rows.groupBy("table", "cell", "i", "j").applyInArrow(projection._tile(10), projection._LISTS)
+    pairs = found.select("q", F.explode("o").alias("o"))
+    assert pairs.count() == pairs.distinct().count()
