@@ -127,7 +127,8 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     keys = nodes.select("fp", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("fp")))).alias("v", "key"))
     shared = keys.groupBy("v", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stage(keys.join(shared, ["v", "key"]), "simhash-met")
+    # merged: Spark sizes an explode like its input, and would broadcast all tables of a middling one
+    met = stage(keys.join(shared.hint("merge"), ["v", "key"]), "simhash-met")
 
     blocks = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     place = F.pmod(F.xxhash64("fp", "v"), blocks).cast("int")
@@ -155,7 +156,7 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     few = open_rows.filter(F.col("n") <= JOINED)
     other = few.select("v", "key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     joined = (
-        few.join(other, ["v", "key"])
+        few.join(other.hint("merge"), ["v", "key"])
         .filter((F.col("fp") < F.col("fp2")) & (F.col("root") != F.col("root2")) & (_apart("fp", "fp2") <= radius))
         .select(F.col("root").alias("a"), F.col("root2").alias("b"))
     )

@@ -114,3 +114,19 @@ def test_empty_table(empty):
 def test_long_text_in_parts():
     words = " ".join(np.random.default_rng(1).integers(0, 10**6, 70_000).astype(str))
     assert simhash.fingerprint(words.encode()) == brute_fingerprint(words)
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch, tmp_path):
+    plans, plain = {}, simhash.stage
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "stage", spy)
+    values = [random.Random(3).getrandbits(62) << 1 for _ in range(200)]
+    values += [v ^ 5 for v in values[:40]]
+    spark.createDataFrame([(v if v < 1 << 62 else -v,) for v in values], "fp bigint").write.parquet(f"{tmp_path}/fps")
+    nodes = spark.read.parquet(f"{tmp_path}/fps")  # far below what is broadcast, until it is exploded
+    simhash.near_links(nodes).count()
+    assert "BroadcastHashJoin" not in plans["simhash-met"] and "SortMergeJoin" in plans["simhash-met"]
