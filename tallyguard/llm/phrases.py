@@ -25,16 +25,17 @@ hold any part of the rows are many blocks; a block has at most ``BLOCK_BYTES`` a
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import setting as _setting
+from ..plans.stage import shuffles_removed as _shuffles_removed
 from ..plans.stage import stage
 
 NO_GROUP = "und"
@@ -306,25 +307,6 @@ def _frequent(found: DataFrame, least: int) -> DataFrame:
     return stage(marked.select("block", "words", "fp", "at"), "phrase-marks")
 
 
-@contextlib.contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A session setting for a while, where this version of Spark has it."""
-    if not spark.conf.isModifiable(name):
-        yield
-        return
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _shuffles_removed(spark: SparkSession):
-    """Let Spark delete a job's shuffle files when the job is over; what it wrote stays."""
-    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
 def frequencies(laid: DataFrame, max_words: int = 3, least: int = 10) -> DataFrame:
     """(grp, words, phrase, n): exact counts of all phrases of up to ``max_words`` (at least two) words
     that occur ``least`` times or more in their group. ``laid`` are the rows of :func:`blocks`."""

@@ -1,6 +1,7 @@
 """What keeps the work of the model, the what-if layers and the neighbours in proportion to the rows."""
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from conftest import book_of, skewed_rows
 from pyspark.sql import functions as F
 
 from tallyguard.operators import features, isolation, lof, projection, rules, whatif
+from tallyguard.plans.stage import stage_root
 
 PEOPLE = "account_id string, home_country string, account_open_date date"
 
@@ -118,3 +120,30 @@ def test_a_pair_is_listed_by_the_first_table_it_meets_in(spark):
     found = rows.groupBy("table", "cell", "i", "j").applyInArrow(projection._tile(10), projection._LISTS)
     pairs = found.select("q", F.explode("o").alias("o"))
     assert pairs.count() == pairs.distinct().count()
+
+
+def test_scenarios_of_a_large_book_leave_nothing_behind(spark, marked, monkeypatch):
+    monkeypatch.setattr(whatif, "SIDE_BY_SIDE", 10, raising=False)
+    monkeypatch.setattr(whatif, "AT_ONCE", 1, raising=False)
+    top = f"{stage_root(spark)}/tallyguard-{spark.sparkContext.applicationId}"
+    held, most, plain = set(os.listdir(top)) if os.path.isdir(top) else set(), [], whatif.stage
+
+    def spy(df, name):
+        out = plain(df, name)
+        most.append(sum(f.startswith("scored-") for f in {*os.listdir(top)} - held))
+        return out
+
+    monkeypatch.setattr(whatif, "stage", spy)
+
+    class Amount:
+        names = ["log_amount"]
+
+        def apply(self, matrix):
+            return matrix.withColumn("score", F.col("log_amount"))
+
+    people = spark.createDataFrame([], PEOPLE)
+    scenarios = {"control": None, "smaller": whatif.smaller_payments, "pence": whatif.add_pence}
+    found = whatif.layer_recall(marked, people, Amount(), features.observed_levels(marked), None, scenarios)
+    assert [r["scenario"] for r in found.collect()] == list(scenarios)
+    assert max(most) == 1  # one scenario's files at a time
+    assert set(os.listdir(top)) == held  # and none of them afterwards
