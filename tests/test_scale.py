@@ -147,3 +147,32 @@ def test_scenarios_of_a_large_book_leave_nothing_behind(spark, marked, monkeypat
     assert [r["scenario"] for r in found.collect()] == list(scenarios)
     assert max(most) == 1  # one scenario's files at a time
     assert set(os.listdir(top)) == held  # and none of them afterwards
+
+
+def test_tables_that_are_merged_in_turn_find_the_same_neighbours(spark, monkeypatch):
+    points = points_of(spark, 1_500, 4)
+    once = sorted(projection.projected_neighbours(points, 8, tables=5, leaf=100).collect())
+    turns, plain = [], projection.stage
+
+    def spy(df, name):
+        out = plain(df, name)
+        if name == "projected":
+            turns.append(sum(f.startswith("projected-") for f in os.listdir(os.path.dirname(out._staged))))
+        return out
+
+    monkeypatch.setattr(projection, "stage", spy)
+    monkeypatch.setattr(projection, "AT_ONCE", 3_000, raising=False)
+    found = projection.projected_neighbours(points, 8, tables=5, leaf=100)
+    assert sorted(found.collect()) == once
+    assert len(turns) == 3  # two tables, two more, the last one
+    assert turns[2] - turns[0] <= 1  # what is merged is removed when the next turn is written
+
+
+def test_outlier_factors_in_slices_are_the_same(spark, monkeypatch):
+    near = lof.neighbours(points_of(spark, 400, 3), 8)
+    whole = {r["point"]: r["lof"] for r in lof.outlier_factors(near).collect()}
+    names, plain = [], lof.stage
+    monkeypatch.setattr(lof, "stage", lambda df, name: (names.append(name), plain(df, name))[1])
+    monkeypatch.setattr(lof, "LISTED", 1_000, raising=False)
+    parts = {r["point"]: r["lof"] for r in lof.outlier_factors(near).collect()}
+    assert parts == pytest.approx(whole) and names.count("density") == 4
